@@ -6,8 +6,9 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Arrow batches handed back to Spark hold about this many bytes at most.
 OUT_BYTES = 4 << 20
@@ -17,31 +18,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names a shared folder in spark.checkpoint.dir; a local one is set only where it is unset."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a local one is set only where none is."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder: it outlives any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def document_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Identity of a document: rows with equal doc_id and equal text are one document.
-
-    Nulls count as values of their own, so rows without an id or a text stay apart from empty ones.
-    """
-    return F.struct(
-        F.col(doc_id).alias("doc_id"),
-        F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.xxhash64(F.col(text))).alias("text_hash"),
-    )
-
-
 def rows_by_python(
     df: DataFrame, columns: list[str], schema: str, rows: Callable[..., Iterator[tuple]], weigh: int | None = None
 ) -> DataFrame:
@@ -50,9 +40,6 @@ def rows_by_python(
     Output batches are cut by the bytes of column `weigh` (or by row count), so a run of
     long documents never builds one huge batch.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
-
     parsed = _parse_datatype_string(schema)
     assert isinstance(parsed, StructType)
     arrow = to_arrow_schema(parsed)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import pieces, quality, sharding, simhash, tiff
+from strandline.llm import decontaminate, lines, lm, pieces, quality, secrets, sharding, simhash, substrings, tiff
+from strandline.llm import sql as twins
 from strandline.llm.common import read_table
 
 #: A public model that the tokenizer folder holds; encode_texts takes any path.
@@ -22,6 +23,22 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_pieces", "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs, benchmark).drop("text_hash")
+
+
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.scores(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("mean_log_score", F.col("log_score") / F.greatest("n_words", F.lit(1)))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.train_forest(secrets.sample_findings(spark))
+    found = secrets.scan(read_table(spark, sf_dir, "documents"), forest)
+    return found.select("doc_id", "start", F.length("candidate").alias("size"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+
+
 def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = read_table(spark, sf_dir, "documents").select(
@@ -33,6 +50,16 @@ def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_units(read_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.line_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.transform("removed_lines", lambda r: F.concat(r["first"].cast("string"), F.lit("-"), r["last"].cast("string")))
+    return cleaned.select("doc_id", "text", F.array_join(spans, ",").alias("removed_lines"))
+
+
 def op8_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.text_media(read_table(spark, sf_dir, "documents"))
 
@@ -55,8 +82,20 @@ def op10_simhash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op5_ring_sharding, op8_tiff_media, op9_quality_ftrl, op10_simhash_grid)
+    f.__name__: f
+    for f in (
+        op1_sentencepiece,
+        op2_benchmark_decontamination,
+        op3_stupid_backoff,
+        op4_secret_scan,
+        op5_ring_sharding,
+        op6_substring_dedup,
+        op7_line_windows,
+        op8_tiff_media,
+        op9_quality_ftrl,
+        op10_simhash_grid,
+    )
 }
 
 #: Where SQL can express the result.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_line_windows": twins.LINE_WINDOWS}

@@ -116,5 +116,31 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(doc_id, "fp", "component_id")
 
 
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `df`, all columns, that stand for their groups of near copies: one row of each group.
+
+    The row with the least doc_id stays (nulls last), then the least text hash; of rows equal in both,
+    any one.
+    """
+    keyed = df.withColumns({"_id": F.col(doc_id), "_hash": F.coalesce(F.xxhash64(text), F.lit(0))})
+    marked = cut_lineage(fingerprints(keyed.select(F.struct("_id", "_hash").alias("key"), text), "key", text))
+    rank = F.struct(F.col("key._id").isNull().alias("none"), F.col("key._id").alias("id"), F.col("key._hash").alias("hash"))
+    distinct = marked.groupBy("fp").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
+    roots = component_roots(links(distinct), "a", "b")
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    repeats = marked.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    kept = cut_lineage(
+        chosen.select(F.struct(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash")).alias("key"))
+        .join(repeats, "key")
+        .select(F.col("key._id").alias("_kept_id"), F.col("key._hash").alias("_kept_hash"), "times")
+    )
+    same = F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash"))
+    out = keyed.join(kept.filter("times = 1"), same, "left_semi")
+    if kept.filter("times > 1").limit(1).count():
+        out = out.unionByName(keyed.join(kept.filter("times > 1"), same, "left_semi").dropDuplicates(["_id", "_hash"]))
+    return out.drop("_id", "_hash")
+
+
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

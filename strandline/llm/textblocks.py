@@ -1,6 +1,7 @@
 """Words of many texts at once, on the bytes that Arrow hands over.
 
-A block lower-cases A-Z, cuts texts at blanks and the control characters 9 to 13, and keeps
+A block lower-cases A-Z, cuts texts at blanks and the control characters 9 to 13 (or at all
+marks), and keeps
 the words of all its texts in one byte array with exactly one blank between words, so that a
 run of words is one slice of it. Slices are hashed with XXH64, all of a block together.
 """
@@ -21,9 +22,11 @@ BLOCK_BYTES = 1 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
+#: All of ASCII but letters and digits.
+_MARKS = np.zeros(256, bool)
+_MARKS[[i for i in range(128) if not chr(i).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LOWER[_BLANK] = 32
 # The five primes of XXH64.
 _P1, _P2, _P3, _P4, _P5 = map(
     np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
@@ -60,13 +63,13 @@ class Block:
         return xxh64(self.data, start, self.end[word + size - 1] - start)
 
 
-def block_of(texts: pa.Array) -> Block:
-    """Texts of an Arrow string column; null counts as empty."""
+def block_of(texts: pa.Array, only_words: bool = False) -> Block:
+    """Texts of an Arrow string column; null counts as empty. With `only_words`, ASCII marks part words as blanks do."""
     texts = pc.fill_null(texts, "")
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    blank = _BLANK[raw]
+    blank = (_MARKS if only_words else _BLANK)[raw]
     begins = ~blank
     begins[1:] &= blank[:-1]
     cuts = offsets[1:-1]
@@ -96,14 +99,14 @@ def block_of(texts: pa.Array) -> Block:
     return Block(packed, start, end, first)
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, Block]]:
-    """Blocks of about BLOCK_BYTES over a column, each with the index of its first text."""
+def blocks(texts: pa.Array, only_words: bool = False, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, Block]]:
+    """Blocks of about `block_bytes` over a column, each with the index of its first text."""
     sizes = np.array(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     at = 0
     while at < len(sizes):
         held = np.cumsum(sizes[at:])
-        stop = at + max(1, int(np.searchsorted(held, BLOCK_BYTES)))
-        yield at, block_of(texts.slice(at, stop - at))
+        stop = at + max(1, int(np.searchsorted(held, block_bytes)))
+        yield at, block_of(texts.slice(at, stop - at), only_words)
         at = stop
 
 
