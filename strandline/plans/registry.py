@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("behaviour",)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
@@ -28,6 +31,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """The modules register their queries when they are imported."""
+    for name in MODULES:
+        importlib.import_module(f"strandline.plans.{name}")
 
 
 def queries() -> dict[str, Query]:
