@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("behaviour",)
+MODULES = ("behaviour", "serving")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
