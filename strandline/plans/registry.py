@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("behaviour", "serving")
+MODULES = ("behaviour", "serving", "catalogue", "vectors")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
