@@ -29,7 +29,7 @@ MIN_COUNT = 2
 #: Bytes of text in a block, unless one text is longer.
 BLOCK_BYTES = 8 << 20
 #: Bytes of text whose n-grams share one partition of the count tables.
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 8 << 20
 
 _BLOCK = "block long, ids array<{id}>, first binary, codes binary, words binary"
 
@@ -86,7 +86,8 @@ def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def requests(packs: DataFrame, parts: int) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for row in b.to_pylist():
+            for at in range(b.num_rows):
+                row = b.slice(at, 1).to_pylist()[0]
                 rows = [(o, p, row["block"], k.tobytes(), n.astype(np.int32).tobytes()) for o, p, k, n in asked(*_arrays(row), parts)]
                 if rows:
                     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())

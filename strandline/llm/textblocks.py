@@ -112,10 +112,15 @@ def blocks(texts: pa.Array, only_words: bool = False, block_bytes: int = BLOCK_B
 
 #: Longer slices are hashed one by one.
 _LONG = 512
+#: Slices hashed together: few enough for the work on them to stay in a processor's cache.
+_TOGETHER = 1 << 15
 
 
 def xxh64(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = SEED) -> np.ndarray:
     """XXH64 of slices of a byte array that has eight bytes to spare at its end."""
+    if len(start) > _TOGETHER:
+        parts = range(0, len(start), _TOGETHER)
+        return np.concatenate([xxh64(data, start[i : i + _TOGETHER], length[i : i + _TOGETHER], seed) for i in parts])
     eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
     four = np.ndarray((len(data) - 7,), "<u4", data, strides=(1,))
     with np.errstate(over="ignore"):
