@@ -1,0 +1,579 @@
+"""The training-data operators against plain Python, on small tables with every awkward kind of row."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from strandline.llm import components, decontaminate, lines, lm, pieces, quality, queries, secrets, sharding, simhash, substrings, textblocks, tiff
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+MODEL = queries.PIECES_MODEL
+
+
+def ascii_lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+LONG = " ".join(f"word{i % 997} and{i % 13}" for i in range(30_000))
+#: Nulls in each column, empty and blank texts, repeated rows, one id with two texts, ties, a very long text, odd characters.
+ROWS = [
+    (1, "The quick brown fox jumps over the lazy dog.\nA second line here.\nAnd a third one.\nFourth."),
+    (2, "Intro.\nThe quick brown fox jumps over the lazy dog.\na SECOND  line here.\nAnd a third one.\nLast."),
+    (2, "Intro.\nThe quick brown fox jumps over the lazy dog.\na SECOND  line here.\nAnd a third one.\nLast."),
+    (3, None),
+    (4, ""),
+    (None, "no id but a text of some words in it"),
+    (None, None),
+    (5, " \n\t "),
+    (5, "same id, other text"),
+    (6, LONG),
+    (7, "é▁x \U0001f600 z\0 w\x0bv\xa0u ßẞ"),
+    (8, "one"),
+    (9, "one two"),
+    (10, "\n\n\n\n\n"),
+    (11, "A\nA\nA\nA\nA\nA\nA"),
+]
+
+
+def table(spark, rows=None, extra=False):
+    df = spark.createDataFrame(ROWS if rows is None else rows, "doc_id long, text string")
+    if extra:  # names that the operators use themselves
+        for name in ("digest", "score", "ids", "shard", "fp", "component_id", "removed_lines", "removed", "size", "n", "block", "_n", "at", "start"):
+            df = df.withColumn(name, F.lit(7))
+    return df
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return table(spark).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return table(spark, []).cache()
+
+
+def rows(df, *names):
+    return sorted((tuple(r[n] for n in names) for r in df.collect()), key=str)
+
+
+# ---- words and hashes
+
+
+def test_blocks_cut_and_hash_like_plain_python():
+    texts = [t for _, t in ROWS]
+    column = pa.array(["skipped", *texts, "skipped"])[1:-1]  # a slice, as Spark may hand over
+    for k, (at, block) in enumerate(textblocks.blocks(column)):
+        for i in range(block.texts):
+            words = WORD.findall(ascii_lower(texts[at + i] or ""))
+            first, stop = block.first[i], block.first[i + 1]
+            assert [block.data[a:b].tobytes().decode() for a, b in zip(block.start[first:stop], block.end[first:stop])] == words
+            hashed = block.hashed(np.arange(first, stop), 1).tolist()
+            assert hashed == [xxhash.xxh64_intdigest(w, 42) for w in words]
+
+
+@pytest.mark.parametrize("size", [*range(0, 70), 127, 128, 300, 511, 512, 5000])
+def test_xxh64(size):
+    data = np.frombuffer(bytes(i * 37 % 251 for i in range(size + 5)) + bytes(8), np.uint8)
+    got = textblocks.xxh64(data, np.array([0, 5]), np.array([size, size]))
+    assert got.tolist() == [xxhash.xxh64_intdigest(data[s : s + size].tobytes(), 42) for s in (0, 5)]
+
+
+# ---- 1 pieces
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pieces.Pieces.load(MODEL)
+
+
+def best_score(model, text, scores):
+    """The greatest score of any segmentation, by plain dynamic programming."""
+    text = text.replace(pieces.SPACE, "\0").replace(" ", pieces.SPACE)
+    best = [0.0] + [-math.inf] * len(text)
+    for end in range(1, len(text) + 1):
+        best[end] = best[end - 1] + model.unknown
+        for start in range(max(0, end - 20), end):
+            if text[start:end] in scores:
+                best[end] = max(best[end], best[start] + scores[text[start:end]])
+    return best[-1]
+
+
+def test_pieces_are_the_best_segmentation(model):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    odd = {i for i in range(sp.get_piece_size()) if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)}
+    scores = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if i not in odd}
+    for text in ["hello world", "  two  spaces ", "naïve — 中文 x", "line\nend", "a▁b", "unbelievablyextraordinary"]:
+        ids = model.encode(text).tolist()
+        got, unknown = 0.0, 0
+        for i in ids:
+            if i in odd:
+                unknown += 1
+            else:
+                got += scores[sp.id_to_piece(i)]
+        chars = sum(1 for c in " " + text if c.replace(" ", pieces.SPACE) not in scores or c == pieces.SPACE)
+        assert got + chars * model.unknown == pytest.approx(best_score(model, " " + text, scores))
+        assert unknown >= chars
+
+
+def test_pieces_round_trip(spark, docs):
+    found = pieces.encode_texts(docs, MODEL)
+    assert found.columns == ["doc_id", "text", "ids", "n_pieces", "decoded"]
+    for r in found.collect():
+        assert r.decoded == r.text
+        assert (r.ids is None) == (r.text is None) and (r.text is None or r.n_pieces == len(r.ids))
+
+
+def test_pieces_without_memory_are_the_same(model, monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 0)
+    fresh = pieces.Pieces.load(MODEL)
+    for _, text in ROWS[:9]:
+        assert fresh.encode(text or "").tolist() == model.encode(text or "").tolist()
+
+
+def test_a_model_whose_pieces_cross_blanks():
+    names = ["<x>", "a", "b", "▁", "a▁b"]
+    bytes_ = list(range(5, 261))
+    own = pieces.Pieces(names + [f"<{i}>" for i in range(256)], [0, -3, -3, -3, -1] + [0] * 256, bytes_, [False] + [True] * 4 + [False] * 256)
+    assert own.encode("a b").tolist() == [3, 4]
+    assert own.decode(own.encode("a\nb c")) == "a\nb c"
+
+
+# ---- 2 decontamination
+
+
+ITEM = "Which of the seven ancient wonders stood in the harbour of Rhodes until an earthquake felled it in the third century"
+
+
+def smith_waterman(a, b):
+    h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            h[i][j] = max(0, h[i - 1][j - 1] + (2 if x == y else -1), h[i - 1][j] - 1, h[i][j - 1] - 1)
+    return max(map(max, h))
+
+
+def test_alignment_against_plain_python():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = rng.integers(0, 4, rng.integers(1, 12)).astype(np.uint64), rng.integers(0, 4, rng.integers(0, 25)).astype(np.uint64)
+        assert decontaminate.align(a, b)[0] == smith_waterman(a.tolist(), b.tolist())
+
+
+def test_contaminated(spark, docs, empty):
+    edited = ITEM.replace("ancient", "old").replace("until an", "before a great").replace("felled", "had felled")
+    more = [(100, ITEM), (101, "Before it. " + ITEM.upper() + ", after it."), (102, f"x y z {edited} and so on"), (103, " ".join(ITEM.split()[:5])), (104, "nothing alike"), (104, ITEM), (104, ITEM)]
+    bench = spark.createDataFrame([(1, ITEM), (2, None), (3, ""), (4, "!!"), (5, "two words"), (5, "two words")], "item_id long, text string")
+    df = docs.unionByName(table(spark, more))
+    found = decontaminate.contaminated(df, bench)
+    assert rows(found, "doc_id", "item_id") == [(100, 1), (101, 1), (102, 1), (104, 1)]
+    by = {r.doc_id: r for r in found.collect()}
+    assert by[100].score == 1.0 and (by[101].first_word, by[101].last_word) == (2, 2 + len(ITEM.split()) - 1)
+    assert 0.6 < by[102].score < 1
+    kept = decontaminate.clean(df.withColumn("score", F.lit(1)), bench)
+    assert kept.columns == ["doc_id", "text", "score"]
+    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted([r[0] or -1 for r in ROWS] + [103, 104])
+    assert decontaminate.contaminated(empty, bench).count() == 0
+    assert decontaminate.contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_seeds_that_are_common_for_their_item_are_dropped():
+    items = [decontaminate.item_of(1, ITEM)]
+    seeds = list(items[0].seeds)
+    assert decontaminate.rare_seeds(items, {s: 1 for s in seeds}) == set(seeds)
+    assert decontaminate.rare_seeds(items, {s: 1 for s in seeds[1:]} | {seeds[0]: 50}) == set(seeds[1:])
+    # an item that is leaked everywhere keeps its seeds
+    assert decontaminate.rare_seeds(items, {s: 10**9 for s in seeds}) == set(seeds)
+
+
+# ---- 3 language model
+
+
+def test_backoff_scores(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(lm, "PARTITION_BYTES", 1 << 14)
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 1 << 16)
+    words = [(i, WORD.findall(ascii_lower(t or ""))) for i, t in ROWS]
+    one, two = collections.Counter(), collections.Counter()
+    for _, w in words:
+        one.update(w)
+        two.update(zip(w, w[1:]))
+    n = sum(one.values())
+    expected = []
+    for i, w in words:
+        total, down = 0.0, 0
+        for k, x in enumerate(w):
+            if k and two[w[k - 1], x] >= lm.MIN_COUNT:
+                total += math.log(two[w[k - 1], x] / one[w[k - 1]])
+            else:
+                total += math.log(one[x] / n) + (math.log(lm.BACKOFF) if k else 0)
+                down += k > 0
+        expected.append((i or -1, len(w), down, round(total, 3)))
+    got = sorted((r.doc_id or -1, r.n_words, r.n_backoffs, round(r.log_score, 3)) for r in lm.scores(docs).collect())
+    assert got == sorted(expected)
+    assert lm.scores(empty).count() == 0
+    wordless = table(spark, [(1, None), (2, " ")])
+    assert rows(lm.scores(wordless), "doc_id", "n_words", "log_score") == [(1, 0, 0.0), (2, 0, 0.0)]
+
+
+# ---- 4 secrets
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train_forest(secrets.sample_findings(spark))
+
+
+def test_secret_scan(spark, docs, empty, forest):
+    key, token = "AKIA" + "Q7XW2ZL9KD3MB5VN", hashlib.sha1(b"x").hexdigest()
+    texts = [
+        (1, f"use {key} here\nand token = \"{token}\" there"),
+        (2, f"fixed in commit {token} today"),
+        (3, "internationalisationsverwaltung und 4111111111111111 bar"),
+        (4, "see https://example.org/guide/introduction/overview-of-everything.html"),
+        (5, None),
+        (6, f"{key}"),
+        (6, f"{key}"),
+    ]
+    df = docs.unionByName(table(spark, texts))
+    found = secrets.scan(df, forest)
+    secret = [(r.doc_id, r.candidate) for r in found.filter("is_secret").collect()]
+    assert sorted(secret) == sorted([(1, key), (1, token), (6, key), (6, key)])
+    whole = dict((i, t) for i, t in texts if t)
+    for r in found.filter("doc_id in (1, 2, 3, 4)").collect():
+        if r.candidate in whole[r.doc_id]:
+            assert whole[r.doc_id][r.start : r.start + len(r.candidate)] == r.candidate
+    clean = secrets.redacted(table(spark, texts), forest)
+    assert {r.text for r in clean.filter("doc_id = 6").collect()} == {"[SECRET]"}
+    assert clean.filter("doc_id = 1").first().text == "use [SECRET] here\nand token = \"[SECRET]\" there"
+    assert clean.count() == len(texts)
+    assert secrets.scan(empty, forest).count() == 0
+
+
+def test_secret_scan_has_no_python_in_its_plan(spark, docs, forest):
+    plan = secrets.scan(docs, forest)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_forest_on_findings_it_never_saw(spark, forest):
+    whole = secrets.sample_findings(spark, 9000).withColumn("i", F.monotonically_increasing_id())
+    right = forest.transform(secrets.with_features(whole)).filter(F.col("prediction") == F.col("label")).count()
+    assert right / 9000 > 0.98
+
+
+# ---- 5 sharding
+
+
+def plain_shards(keys, ring, order, shards):
+    """The same walk, one key after the other."""
+    room = sharding.capacities(len(keys), shards, 0.0)
+    arcs = collections.defaultdict(list)
+    for key, place in keys:
+        arc = next((i for i, p in enumerate(ring.points) if p >= place), 0)
+        arcs[arc].append(key)
+    out = collections.Counter()
+    for arc in ring.serving_order():
+        for key in sorted(arcs[arc], key=order):
+            a = arc
+            while room[ring.owners[a]] == 0:
+                a = (a + 1) % len(ring.points)
+            room[ring.owners[a]] -= 1
+            out[key, ring.owners[a]] += 1
+    return out
+
+
+def test_shards_against_a_walk_of_single_keys(spark, monkeypatch):
+    for block in (100_000, 3):  # one block an arc, and several
+        monkeypatch.setattr(sharding, "BLOCK_ROWS", block)
+        df = spark.range(500).select(F.col("id").alias("doc_id"))
+        ring = sharding.Ring.of(5, 8)
+        placed = df.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 32).alias("p"), F.xxhash64("doc_id").alias("h")).collect()
+        hashes = {r.doc_id: r.h for r in placed}
+        got = sharding.shard_rows(df, "doc_id", 5, 8).collect()
+        per = collections.Counter(r.shard for r in got)
+        assert max(per.values()) - min(per.values()) <= 1
+        for s in range(5):
+            assert sorted(r.slot for r in got if r.shard == s) == list(range(per[s]))
+        if block > 500:
+            plain = plain_shards([(r.doc_id, r.p) for r in placed], ring, lambda k: (hashes[k], k), 5)
+            assert collections.Counter((r.doc_id, r.shard) for r in got) == plain
+
+
+def test_shards_of_awkward_rows(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(sharding, "COPY_ROWS", 10)
+    many = docs.unionByName(table(spark, [(None, "copy")] * 105))
+    got = sharding.shard_rows(many, "doc_id", 4, 16)
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter((r.doc_id, r.text) for r in many.collect())
+    per = collections.Counter(r.shard for r in got.collect())
+    assert max(per.values()) - min(per.values()) <= 1 and len(per) == 4
+    assert sharding.shard_rows(empty, "doc_id", 4, 16).count() == 0
+    assert sharding.shard_rows(table(spark, [(1, "a")]), "doc_id", 4, 16).count() == 1
+
+
+def test_bounded_loads_move_few_keys(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"))
+
+    def placed(n):
+        return {r.doc_id: r.shard for r in sharding.shard_rows(df, "doc_id", n, 128, slack=0.25).collect()}
+
+    before, after = placed(8), placed(9)
+    assert sum(before[k] != after[k] for k in before) < 0.3 * len(before)
+    loads = collections.Counter(after.values())
+    assert max(loads.values()) <= 1.25 * 4000 / 9 + 2
+
+
+# ---- 6 and 7 repeated lines
+
+
+def test_repeated_units(spark, empty):
+    long = "This sentence of more than eight words is found in several documents."
+    texts = [(2, f"{long} And more follows it here."), (1, f"Start. {long.upper()}\nEnd."), (3, f"x\n\n  {long}  \ny"), (3, f"x\n\n  {long}  \ny"), (None, f"{long} {long}"), (9, None), (10, "")]
+    df = table(spark, texts)
+    found = substrings.repeated_units(df)
+    whole = dict(texts)
+    assert rows(found, "doc_id", "kept_doc_id") == sorted([(2, 1), (3, 1), (None, 1), (None, 1)], key=str)
+    for r in found.filter("doc_id is not null").collect():
+        assert whole[r.doc_id][r.start : r.stop] == long
+        assert whole[r.kept_doc_id][r.kept_start : r.kept_stop] == long.upper()
+    cleaned = substrings.substring_dedup(df.withColumn("removed", F.lit(1)))
+    assert cleaned.count() == len(texts)
+    by = {r.doc_id: r.text for r in cleaned.collect()}
+    assert by[1] == whole[1] and by[2] == " And more follows it here." and by[3] == "x\n\n    \ny" and by[None] == " " and by[9] is None and by[10] == ""
+    assert substrings.repeated_units(empty).count() == 0
+    assert substrings.substring_dedup(empty).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["line", "paragraph", "sentence"])
+def test_units_tile_a_text(unit):
+    text = "One. Two! Three?\nFour\n\nFive... six\n \nSeven"
+    spans = [m.span() for m in substrings.UNIT[unit].finditer(text)]
+    covered = {i for a, b in spans for i in range(a, b)}
+    assert len(covered) == sum(b - a for a, b in spans)
+    assert all(c.isspace() for i, c in enumerate(text) if i not in covered)
+
+
+def plain_line_dedup(docs, size=3):
+    def normal(line):
+        return re.sub("[ \t\r]+", " ", line).strip(" ").lower()
+
+    order = sorted({(i is None, i or 0, h, t) for i, t, h in docs if t is not None})
+    first, cover = {}, collections.defaultdict(set)
+    for none, i, h, text in order:
+        doc, ls = (none, i, h), [normal(x) for x in text.split("\n")]
+        for at in range(len(ls) - size + 1):
+            window = tuple(ls[at : at + size])
+            if not any(window):
+                continue
+            if window in first:
+                other, there = first[window]
+                cover[doc].update(range(max(at, there + size) if other == doc else at, at + size))
+            else:
+                first[window] = (doc, at)
+    return {(i if not n else None, t): "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cover[n, i, h]) for n, i, h, t in order}
+
+
+def test_line_windows_against_plain_python(spark, docs, empty):
+    more = [(20, "a\nb\nc\nd\ne"), (21, "b\nc\nd\n\nB \nC\nD"), (None, "a\nb\nc\nd"), (22, "x\na\nb\nc\nd\ny")]
+    df = docs.unionByName(table(spark, more))
+    hashed = [(r.doc_id, r.text, r.h) for r in df.withColumn("h", F.xxhash64("text")).collect()]
+    plain = plain_line_dedup(hashed)
+    got = lines.line_dedup(df.withColumn("removed_lines", F.lit("mine")).withColumn("old", F.col("text")))
+    assert got.count() == df.count()
+    for r in got.collect():
+        assert r.text == (None if r.old is None else plain[r.doc_id, r.old])
+        assert (r.removed_lines == []) == (r.text == r.old)
+    assert lines.line_dedup(empty).count() == 0
+
+
+# ---- 8 TIFF
+
+
+@pytest.mark.parametrize("compression", [tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS, tiff.OLD_DEFLATE])
+@pytest.mark.parametrize("order", "<>")
+@pytest.mark.parametrize("tile", [None, 16])
+def test_tiff_round_trip(compression, order, tile):
+    rng = np.random.default_rng(1)
+    images = [rng.integers(0, 256, (37, 21, 3), dtype=np.uint8), np.zeros((5, 64), np.uint8), rng.integers(0, 3, (1, 1), dtype=np.uint8)]
+    for predictor in (1, 2):
+        found = list(tiff.pages(tiff.encoded(images, compression, predictor, 8, tile, order)))
+        assert [p.samples for p in found] == [i.tobytes() for i in images]
+        assert [(p.number, p.width, p.height, p.channels) for p in found] == [(0, 21, 37, 3), (1, 64, 5, 1), (2, 1, 1, 1)]
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 127, 128, 129, 5000, 70_000])
+def test_codecs_round_trip(size):
+    rng = np.random.default_rng(size)
+    for levels in (1, 2, 256):
+        data = rng.integers(0, levels, size, dtype=np.uint8).tobytes()
+        assert tiff.lzw_decode(tiff.lzw_encode(data)) == data
+        assert tiff.packbits_decode(tiff.packbits_encode(data)) == data
+
+
+def test_packbits_of_the_format_notes():
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    assert tiff.packbits_decode(packed) == bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+
+
+def test_page_rows(spark):
+    good = tiff.encoded([np.full((2, 64), 7, np.uint8), np.full((1, 64), 9, np.uint8)])
+    files = [(1, bytearray(good)), (2, None), (3, bytearray(b"")), (4, bytearray(b"not a tiff")), (5, bytearray(good[: len(good) // 2])), (None, bytearray(good)), (1, bytearray(good))]
+    df = spark.createDataFrame(files, "id long, media binary")
+    found = tiff.page_rows(df).collect()
+    assert sorted((r.id, r.page) for r in found if r.error is None and r.id) == [(1, 0), (1, 0), (1, 1), (1, 1)]
+    assert {r.id for r in found if r.error} == {4, 5}
+    with pytest.raises(ValueError):
+        tiff.page_rows(df.withColumn("page", F.lit(1)))
+    assert tiff.page_rows(df.limit(0)).count() == 0
+
+
+def test_text_media(spark, docs, empty):
+    found = tiff.text_media(docs).collect()
+    assert len(found) == len(ROWS)
+    by = collections.Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in found)
+    expected = collections.Counter()
+    for i, t in ROWS:
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        expected[i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])] += 1
+    assert by == expected
+    assert tiff.text_media(empty).count() == 0
+
+
+# ---- 9 quality
+
+
+def test_classifier_on_held_out_labels(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    labels = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet")
+    found = queries.op9_quality_ftrl(spark, sf.replace("0.001", "0.01")).join(labels, "doc_id")
+    held = found.filter("held_out")
+    right = held.filter("predicted = quality").count() / held.count()
+    good = held.filter("quality = 1")
+    assert right > 0.93 and good.filter("predicted = 1").count() == good.count()
+    assert docs.count() == 1000
+    for r in found.select("doc_id", "held_out").collect():
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_held_out_labels_are_never_learnt(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    flipped = labels.withColumn("quality", F.when(~quality.learnable(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = (queries.fitted_quality(spark, docs, x) for x in (labels, flipped))
+    assert a.bias == b.bias and (a.weights == b.weights).all()
+
+
+def test_scores_of_awkward_rows(spark, docs, empty):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1), (99, 1)], "doc_id long, quality int")
+    model = queries.fitted_quality(spark, docs, labels)
+    got = quality.score(docs.withColumn("Score", F.lit("mine")), model)
+    assert got.columns == ["doc_id", "text", "score"] and got.count() == len(ROWS)
+    assert all(0 <= r.score <= 1 for r in got.collect())
+    assert quality.score(empty, model).count() == 0
+    nothing = queries.fitted_quality(spark, docs, labels.limit(0))
+    assert {r.score for r in quality.score(docs, nothing).collect()} == {0.5}
+
+
+def test_sample_is_bounded(spark, docs):
+    labels = spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    assert quality.sample_labelled(docs, labels, "quality", 3).select("doc_id").distinct().count() <= 3
+
+
+# ---- 10 SimHash
+
+
+def plain_fingerprint(text, size=3):
+    words = WORD.findall(ascii_lower(text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or [" ".join(words)]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(fps):
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if a < b and bin(a ^ b).count("1") <= 3:
+                root[find(a)] = find(b)
+    return {f: find(f) for f in fps}
+
+
+def test_fingerprints_and_components(spark, docs, empty):
+    base = " ".join(f"w{i}" for i in range(400))
+    more = [(200 + k, base.replace(f" w{k} ", f" v{k} ")) for k in range(60, 90)] + [(50, base)]
+    df = docs.unionByName(table(spark, more))
+    got = simhash.near_duplicates(df).select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("f"), "component_id").collect()
+    data = [(r.doc_id, plain_fingerprint(r.text)) for r in df.collect()]
+    roots = plain_components({f for _, f in data})
+    least = {}
+    for i, f in data:
+        if i is not None:
+            least[roots[f]] = min(i, least.get(roots[f], i))
+    assert collections.Counter((r.doc_id, r.f, r.component_id) for r in got) == collections.Counter((i, f"{f:016x}", least.get(roots[f])) for i, f in data)
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_no_link_is_lost_by_the_grid(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 40).tolist()
+    fps = set(base)
+    for b in base:
+        for n in (1, 2, 3, 4, 5):
+            flipped = b
+            for bit in rng.choice(64, n, replace=False).tolist():
+                flipped ^= 1 << bit
+            fps.add(flipped - (1 << 64) if flipped >= 1 << 63 else flipped)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.links(df).collect()}
+    mask = (1 << 64) - 1
+    assert got == {(a, b) for a in fps for b in fps if a < b and bin((a ^ b) & mask).count("1") <= 3}
+
+
+def test_one_of_each_keeps_one_row_a_group(spark, docs, empty):
+    got = simhash.one_of_each(docs.withColumn("fp", F.lit(1)))
+    assert got.columns == ["doc_id", "text", "fp"]
+    roots = plain_components({plain_fingerprint(t) for _, t in ROWS})
+    assert got.count() == len(set(roots.values()))
+    assert len({roots[plain_fingerprint(r.text)] for r in got.collect()}) == got.count()
+    assert simhash.one_of_each(empty).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    chain = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1002), (7000, 7000)]
+    df = spark.createDataFrame(chain, "a long, b long")
+    got = {r.node: r.root for r in components.component_roots(df, "a", "b").collect()}
+    assert got == {i: 0 for i in range(201)} | {i: 1000 for i in (1000, 1001, 1002)}
+    assert components.component_roots(df.limit(0), "a", "b").count() == 0
+
+
+# ---- all of them
+
+
+def test_columns_with_clashing_names(spark):
+    df = table(spark, extra=True)
+    assert simhash.near_duplicates(df).count() == len(ROWS)
+    assert lm.scores(df).count() == len(ROWS)
+    assert lines.line_dedup(df).count() == len(ROWS)
+    assert substrings.substring_dedup(df).count() == len(ROWS)
+    assert tiff.text_media(df).count() == len(ROWS)
+    assert pieces.encode_texts(df, MODEL).count() == len(ROWS)
+    assert quality.score(df, quality.QualityModel(0.0, np.zeros(1 << quality.BITS))).count() == len(ROWS)
+    assert sharding.shard_rows(df.select("doc_id", "text", "size"), "doc_id", 4, 8).count() == len(ROWS)
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert decontaminate.clean(df, bench).count() == len(ROWS)
