@@ -2,7 +2,8 @@
 
 A unit is normalised (words by single blanks, lower case) and digested; digests are grouped
 over all documents, the earliest-ranked occurrence stays and all later ones are removed, with
-their places in the original text retained.
+their places in the original text retained. A short sentence says too little on its own and is
+digested together with the long one beside it: it goes where both are repeated.
 """
 
 from __future__ import annotations
@@ -25,9 +26,45 @@ UNIT = {
 MIN_WORDS = 8
 
 
+def spans(text: str, unit: str, least: int) -> list[tuple[int, int, int, int, int]]:
+    """(start, stop, from, to, rank): places of the units of a text, of the stretch that each is digested with, and which part of it it is.
+
+    Lines and paragraphs are digested alone and sentences too, if they have `least` words. A shorter sentence
+    is digested from the last long one of its line on, or up to the first; in a line of `least` words
+    without a long sentence, all sentences are digested with the line.
+    """
+    out: list[tuple[int, int, int, int, int]] = []
+    if unit != "sentence":
+        for m in UNIT[unit].finditer(text):
+            if len(m[0].split()) >= least:
+                out.append((*_trimmed(text, *m.span()), *m.span(), 0))
+        return out
+    for line in UNIT["line"].finditer(text):
+        if len(line[0].split()) < least:
+            continue
+        sentences = [(*_trimmed(text, *m.span()), len(m[0].split()) >= least) for m in UNIT["sentence"].finditer(text, *line.span()) if not m[0].isspace()]
+        first = next((k for k, x in enumerate(sentences) if x[2]), None)
+        anchor, since = None, 0
+        for k, (start, stop, long) in enumerate(sentences):
+            if first is None:
+                out.append((start, stop, *line.span(), k + 1))
+            elif long:
+                anchor, since = start, k
+                out.append((start, stop, start, stop, 0))
+            elif anchor is not None:
+                out.append((start, stop, anchor, stop, k - since))
+            else:
+                out.append((start, stop, start, sentences[first][1], -1))
+    return out
+
+
+def _trimmed(text: str, start: int, stop: int) -> tuple[int, int]:
+    own = text[start:stop]
+    return start + len(own) - len(own.lstrip()), stop - len(own) + len(own.rstrip())
+
+
 def units(df: DataFrame, doc_id: str, text: str, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """(_id, _hash, start, stop, digest) of every unit of at least `min_words` words; places count characters from 0."""
-    pattern = UNIT[unit]
+    """(_id, _hash, start, stop, digest) of every unit (see `spans`); places count characters from 0."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_id", "_hash", "start", "stop", "digest"]
@@ -40,15 +77,12 @@ def units(df: DataFrame, doc_id: str, text: str, unit: str = "sentence", min_wor
                 return pa.RecordBatch.from_arrays(arrays, names=names)
 
             for row in range(b.num_rows):
-                for m in pattern.finditer(b.column(2)[row].as_py() or ""):
-                    words = m[0].split()
-                    if len(words) >= min_words:
-                        own = " ".join(words)
-                        of.append(row)
-                        begin = m.start() + m[0].index(words[0])
-                        start.append(begin)
-                        stop.append(m.start() + len(m[0].rstrip()))
-                        digest.append(xxhash.xxh3_128_digest(own.lower()))
+                text_ = b.column(2)[row].as_py() or ""
+                for begin, end, a, z, rank in spans(text_, unit, min_words):
+                    of.append(row)
+                    start.append(begin)
+                    stop.append(end)
+                    digest.append(xxhash.xxh3_128_digest(f"{rank} {' '.join(text_[a:z].split()).lower()}".encode()))
                 if len(of) >= 50_000:
                     yield flush()
                     of, start, stop, digest = [], [], [], []

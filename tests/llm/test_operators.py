@@ -336,22 +336,53 @@ def test_bounded_loads_move_few_keys(spark):
 
 def test_repeated_units(spark, empty):
     long = "This sentence of more than eight words is found in several documents."
-    texts = [(2, f"{long} And more follows it here."), (1, f"Start. {long.upper()}\nEnd."), (3, f"x\n\n  {long}  \ny"), (3, f"x\n\n  {long}  \ny"), (None, f"{long} {long}"), (9, None), (10, "")]
+    texts = [
+        (2, f"Mine. {long} Then one. And more follows it here."),
+        (1, f"Start. {long.upper()} THEN one.\nEnd."),
+        (3, f"x\n\n  {long}  \ny"),
+        (3, f"x\n\n  {long}  \ny"),
+        (4, "Then one. It stands alone."),
+        (5, "a b. c d. e f. g h."),
+        (6, "A b. C d.  e f. g h.\nrest"),
+        (None, f"{long} {long}"),
+        (9, None),
+        (10, ""),
+    ]
     df = table(spark, texts)
     found = substrings.repeated_units(df)
     whole = dict(texts)
-    assert rows(found, "doc_id", "kept_doc_id") == sorted([(2, 1), (3, 1), (None, 1), (None, 1)], key=str)
-    for r in found.filter("doc_id is not null").collect():
-        assert whole[r.doc_id][r.start : r.stop] == long
-        assert whole[r.kept_doc_id][r.kept_start : r.kept_stop] == long.upper()
+    got = collections.Counter((r.doc_id, whole[r.doc_id][r.start : r.stop], r.kept_doc_id) for r in found.filter("doc_id is not null").collect())
+    assert got == collections.Counter([(2, long, 1), (2, "Then one.", 1), (3, long, 1), (6, "A b.", 5), (6, "C d.", 5), (6, "e f.", 5), (6, "g h.", 5)])
+    assert rows(found.filter("doc_id is null"), "start", "kept_doc_id") == [(0, 1), (len(long) + 1, 1)]
+    for r in found.filter("kept_doc_id = 1").collect():
+        assert whole[1][r.kept_start : r.kept_stop] in (long.upper(), "THEN one.")
     cleaned = substrings.substring_dedup(df.withColumn("removed", F.lit(1)))
     assert cleaned.count() == len(texts)
     by = {r.doc_id: r.text for r in cleaned.collect()}
-    assert by[1] == whole[1] and by[2] == " And more follows it here." and by[3] == "x\n\n    \ny" and by[None] == " " and by[9] is None and by[10] == ""
+    assert by[1] == whole[1] and by[2] == "Mine.   And more follows it here." and by[3] == "x\n\n    \ny" and by[4] == whole[4]
+    assert by[6] == "    \nrest" and by[None] == " " and by[9] is None and by[10] == ""
     assert substrings.repeated_units(empty).count() == 0
     assert substrings.substring_dedup(empty).count() == 0
 
 
+def test_a_passage_of_fifty_words_is_found_wherever_it_stands(spark):
+    rng = np.random.default_rng(8)
+
+    def words(n):
+        return ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)]
+
+    sentences = [" ".join(words(n)).capitalize() + "." for n in (3, 12, 2, 9, 14, 4, 10, 3)]
+    passage = " ".join(sentences)
+    texts = [(i, " ".join(words(40)) + ". " + passage + " " + " ".join(words(30)) + ".") for i in range(3)]
+    texts += [(9, " ".join(words(60)) + ".")]
+    found = substrings.repeated_units(table(spark, texts))
+    for i, t in texts[1:3]:
+        spans = [(r.start, r.stop) for r in found.filter(F.col("doc_id") == i).collect()]
+        removed = "".join(t[a:b] for a, b in sorted(spans)).replace(" ", "")
+        assert len(removed) > 0.9 * len(passage.replace(" ", "")) and removed in passage.replace(" ", "")
+    assert found.filter("doc_id in (0, 9)").count() == 0
+
+
 @pytest.mark.parametrize("unit", ["line", "paragraph", "sentence"])
 def test_units_tile_a_text(unit):
     text = "One. Two! Three?\nFour\n\nFive... six\n \nSeven"
