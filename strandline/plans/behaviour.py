@@ -406,7 +406,7 @@ SELECT user_id, array_to_string(list_concat(ids, list_transform(range(0, 64 - le
 def ar07_tokenise(spark: SparkSession, d: str) -> DataFrame:
     """The first token stays [CLS]; a long sequence keeps its last tokens, [SEP] included."""
     found = _tokenised(spark, d, 64)
-    return found.select("user_id", joined("input_ids").alias("input_ids"), joined("token_types").alias("token_types"), tokenizer.total(F.col("attention_mask")).alias("valid"))
+    return found.select("user_id", joined("input_ids").alias("input_ids"), joined("token_types").alias("token_types"), tokenizer.total(F.col("attention_mask")).cast("long").alias("valid"))
 
 
 @query(TOKENISED_SQL + """, framed AS (SELECT user_id, count(*) FILTER (back <= 62) + 2 AS n FROM numbered GROUP BY user_id)

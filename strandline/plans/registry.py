@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("behaviour", "serving", "catalogue", "vectors", "quality", "storage")
+MODULES = ("behaviour", "serving", "catalogue", "vectors", "quality", "storage", "interfaces")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
