@@ -34,25 +34,27 @@ PARTITION_BYTES = 8 << 20
 _BLOCK = "block long, ids array<{id}>, first binary, codes binary, words binary"
 
 
+def _packs(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of whole documents: (number, ids, first word of each, words as places in the next, sorted hashes of the block's words)."""
+    for at, block in blocks(texts, block_bytes=BLOCK_BYTES):
+        words, codes = np.unique(block.hashed(np.arange(int(block.first[-1])), 1), return_inverse=True)
+        own, first, codes = ids.slice(at, block.texts), block.first.astype(np.int64), codes.astype(np.int32)
+        # equal blocks have equal numbers, which does no harm: they ask for the same counts
+        mark = xxhash.xxh3_64(repr(own.to_pylist()).encode())
+        for part in (first, codes, words):
+            mark.update(part)
+        yield mark.intdigest() - (1 << 63), own, first, codes, words
+
+
 def packed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Blocks of whole documents: ids, first word of each, words as places in the sorted array of the block's word hashes."""
+    """One row for each block."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for at, block in blocks(b.column(1), block_bytes=BLOCK_BYTES):
-                words, codes = np.unique(block.hashed(np.arange(int(block.first[-1])), 1), return_inverse=True)
-                ids = b.column(0).slice(at, block.texts)
-                first, code = block.first.astype(np.int64).tobytes(), codes.astype(np.int32).tobytes()
-                # equal blocks have equal numbers, which does no harm: they ask for the same counts
-                number = xxhash.xxh3_64_intdigest(repr(ids.to_pylist()).encode() + first + code + words.tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([number - (1 << 63)], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-                        *(pa.array([x], pa.binary()) for x in (first, code, words.tobytes())),
-                    ],
-                    names=["block", "ids", "first", "codes", "words"],
-                )
+            for number, ids, *parts in _packs(b.column(0), b.column(1)):
+                listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                binary = [pa.array([x.tobytes()], pa.binary()) for x in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), listed, *binary], names=["block", "ids", "first", "codes", "words"])
 
     kind = df.schema[doc_id].dataType.simpleString()
     return df.select(doc_id, text).mapInArrow(batches, _BLOCK.format(id=kind))
@@ -66,34 +68,37 @@ def pairs(first: np.ndarray, words: np.ndarray, codes: np.ndarray) -> tuple[np.n
     return at, mixed(mixed(words[codes[at - 1]]) ^ words[codes[at]])
 
 
-def asked(first: np.ndarray, words: np.ndarray, codes: np.ndarray, parts: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(order, partition, different n-grams, their counts) of a block; n-grams of a partition are sorted."""
-    for order in ORDERS:
-        keys = words[codes] if order == 1 else pairs(first, words, codes)[1]
-        unique, counts = np.unique(keys, return_counts=True)
-        part = (mixed(unique) >> np.uint64(33)) % np.uint64(parts)
-        by_part = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[by_part], np.arange(parts + 1).astype(np.uint64))
-        for p in np.flatnonzero(np.diff(cuts)).tolist():
-            own = by_part[cuts[p] : cuts[p + 1]]
-            yield order, p, unique[own], counts[own]
+def asked(order: int, first: np.ndarray, words: np.ndarray, codes: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(partition, different n-grams, their counts) of a block; the n-grams of a partition are sorted."""
+    if order == 1:
+        unique, counts = words, np.bincount(codes, minlength=len(words))
+    else:
+        unique, counts = np.unique(pairs(first, words, codes)[1], return_counts=True)
+    part = ((mixed(unique) >> np.uint64(33)) % np.uint64(parts)).astype(np.int32)
+    by_part = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[by_part], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        own = by_part[cuts[p] : cuts[p + 1]]
+        yield p, unique[own], counts[own]
 
 
 def _arrays(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["first"], np.int64), np.frombuffer(row["words"], np.uint64), np.frombuffer(row["codes"], np.int32)
 
 
-def requests(packs: DataFrame, parts: int) -> DataFrame:
+def requests(df: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
+    """What each block asks of each partition, straight from the texts: the packed form never leaves the worker here."""
+
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         for b in it:
-            for at in range(b.num_rows):
-                row = b.slice(at, 1).to_pylist()[0]
-                rows = [(o, p, row["block"], k.tobytes(), n.astype(np.int32).tobytes()) for o, p, k, n in asked(*_arrays(row), parts)]
-                if rows:
-                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["order", "part", "block", "keys", "counts"])
+            for number, _, first, codes, words in _packs(b.column(0), b.column(1)):
+                for order in ORDERS:
+                    rows = [(order, p, number, k.tobytes(), n.astype(np.int32).tobytes()) for p, k, n in asked(order, first, words, codes, parts)]
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["order", "part", "block", "keys", "counts"])
 
-    return packs.drop("ids").mapInArrow(batches, "order int, part int, block long, keys binary, counts binary")
+    return df.select(doc_id, text).mapInArrow(batches, "order int, part int, block long, keys binary, counts binary")
 
 
 def totals(requested: DataFrame) -> DataFrame:
@@ -145,7 +150,7 @@ def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             first, words, codes = _arrays(row)
             count = {}
             for order in ORDERS:
-                mine = [(k, got[o, p]) for o, p, k, _ in asked(first, words, codes, parts) if o == order]
+                mine = [(k, got[order, p]) for p, k, _ in asked(order, first, words, codes, parts)]
                 keys = np.concatenate([k for k, _ in mine] or [np.zeros(0, np.uint64)])
                 found = np.concatenate([c for _, c in mine] or [np.zeros(0, np.int64)])
                 by = np.argsort(keys)
@@ -171,7 +176,7 @@ def scores(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
             )
         return pa.concat_tables(out)
 
-    replies = totals(requests(packs, parts))
+    replies = totals(requests(df, doc_id, text, parts))
     # blocks without any words ask for nothing, and still get their rows
     grouped = packs.groupBy("block").cogroup(replies.groupBy("block"))
     return grouped.applyInArrow(score, f"id {kind}, n_words long, n_backoffs long, log_score double").withColumnRenamed("id", doc_id)
