@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandline.llm.common import cut_lineage
+
 
 SIZE = 3
 
@@ -49,6 +51,8 @@ def later_windows(found: DataFrame, size: int = SIZE) -> DataFrame:
         .filter("kept != last")
         .select("digest", "kept")
     )
+    # as a table of its own, so that both sides of the join are dealt out anew and a hot window can be split
+    earliest = cut_lineage(earliest)
     own = F.col("_id").eqNullSafe(F.col("kept.id")) & (F.col("_hash") == F.col("kept.hash"))
     first = F.when(own, F.greatest("at", F.col("kept.at") + size)).otherwise(F.col("at"))
     return (
