@@ -16,55 +16,83 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-UNIT = {
-    "line": re.compile(r"[^\n]+"),
-    "paragraph": re.compile(r"(?:[^\n]|\n(?!\s*\n))+"),
-    # a line, up to a mark that ends a sentence and the blank after it
-    "sentence": re.compile(r"[^\n]+?(?:[.!?…]+(?=\s)|(?=\n)|\Z)"),
-}
+from strandline.llm.common import cut_lineage
+
+PARAGRAPH = re.compile(r"(?:[^\n]|\n(?!\s*\n))+")
+#: A mark that ends a sentence, with a blank or the end of the line after it.
+ENDS = re.compile(r"[.!?…]+(?=\s|$)")
 #: Units of fewer words say too little to be removed.
 MIN_WORDS = 8
 
 
-def spans(text: str, unit: str, least: int) -> list[tuple[int, int, int, int, int]]:
-    """(start, stop, from, to, rank): places of the units of a text, of the stretch that each is digested with, and which part of it it is.
-
-    Lines and paragraphs are digested alone and sentences too, if they have `least` words. A shorter sentence
-    is digested from the last long one of its line on, or up to the first; in a line of `least` words
-    without a long sentence, all sentences are digested with the line.
-    """
-    out: list[tuple[int, int, int, int, int]] = []
-    if unit != "sentence":
-        for m in UNIT[unit].finditer(text):
-            if len(m[0].split()) >= least:
-                out.append((*_trimmed(text, *m.span()), *m.span(), 0))
-        return out
-    for line in UNIT["line"].finditer(text):
-        if len(line[0].split()) < least:
-            continue
-        sentences = [(*_trimmed(text, *m.span()), len(m[0].split()) >= least) for m in UNIT["sentence"].finditer(text, *line.span()) if not m[0].isspace()]
-        first = next((k for k, x in enumerate(sentences) if x[2]), None)
-        anchor, since = None, 0
-        for k, (start, stop, long) in enumerate(sentences):
-            if first is None:
-                out.append((start, stop, *line.span(), k + 1))
-            elif long:
-                anchor, since = start, k
-                out.append((start, stop, start, stop, 0))
-            elif anchor is not None:
-                out.append((start, stop, anchor, stop, k - since))
-            else:
-                out.append((start, stop, start, sentences[first][1], -1))
-    return out
+def _digest(words: list[str], before: bytes = b"") -> bytes:
+    return xxhash.xxh3_128_digest(before + " ".join(words).lower().encode())
 
 
-def _trimmed(text: str, start: int, stop: int) -> tuple[int, int]:
+def _placed(text: str, start: int, stop: int) -> tuple[int, int]:
+    """The stretch without white space at its ends."""
     own = text[start:stop]
     return start + len(own) - len(own.lstrip()), stop - len(own) + len(own.rstrip())
 
 
+def _lines(text: str) -> Iterator[tuple[int, int]]:
+    start = 0
+    while start <= len(text):
+        stop = text.find("\n", start)
+        stop = len(text) if stop < 0 else stop
+        yield start, stop
+        start = stop + 1
+
+
+def text_units(text: str, unit: str = "sentence", least: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
+    """(start, stop, digest) of the units of a text, in one pass.
+
+    Lines and paragraphs count if they have `least` words, and so do sentences. A shorter sentence is digested
+    on top of the digest before it, back to the last long one of its line, or else of the digest after it, up to
+    the first long one. A line of `least` words without a long sentence is one unit.
+    """
+    if unit == "paragraph":
+        stretches: Iterator[tuple[int, int]] = (m.span() for m in PARAGRAPH.finditer(text))
+    else:
+        stretches = _lines(text)
+    for start, stop in stretches:
+        if stop - start < 2 * least - 1:
+            continue
+        words = text[start:stop].split()
+        if len(words) < least:
+            continue
+        if unit != "sentence":
+            yield (*_placed(text, start, stop), _digest(words))
+            continue
+        cuts = [m.end() for m in ENDS.finditer(text, start, stop)]
+        if not cuts or cuts[-1] < stop:
+            cuts.append(stop)
+        leading: list[tuple[int, int, list[str]]] = []
+        above, at = None, start
+        for cut in cuts:
+            own, begin, at = text[at:cut].split(), at, cut
+            if not own:
+                continue
+            if len(own) >= least:
+                first, above = above is None, _digest(own)
+                if first:
+                    after = above
+                    for a, z, short in reversed(leading):
+                        after = _digest(short, b"<" + after)
+                        yield (*_placed(text, a, z), after)
+                yield (*_placed(text, begin, cut), above)
+                chain = above
+            elif above is not None:
+                chain = _digest(own, b">" + chain)
+                yield (*_placed(text, begin, cut), chain)
+            else:
+                leading.append((begin, cut, own))
+        if above is None:
+            yield (*_placed(text, start, stop), _digest(words))
+
+
 def units(df: DataFrame, doc_id: str, text: str, unit: str = "sentence", min_words: int = MIN_WORDS) -> DataFrame:
-    """(_id, _hash, start, stop, digest) of every unit (see `spans`); places count characters from 0."""
+    """(_id, _hash, start, stop, digest) of every unit (see `text_units`); places count characters from 0."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_id", "_hash", "start", "stop", "digest"]
@@ -77,12 +105,11 @@ def units(df: DataFrame, doc_id: str, text: str, unit: str = "sentence", min_wor
                 return pa.RecordBatch.from_arrays(arrays, names=names)
 
             for row in range(b.num_rows):
-                text_ = b.column(2)[row].as_py() or ""
-                for begin, end, a, z, rank in spans(text_, unit, min_words):
+                for begin, end, own in text_units(b.column(2)[row].as_py() or "", unit, min_words):
                     of.append(row)
                     start.append(begin)
                     stop.append(end)
-                    digest.append(xxhash.xxh3_128_digest(f"{rank} {' '.join(text_[a:z].split()).lower()}".encode()))
+                    digest.append(own)
                 if len(of) >= 50_000:
                     yield flush()
                     of, start, stop, digest = [], [], [], []
@@ -109,6 +136,8 @@ def repeated_units(
         F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_hash").alias("hash"), F.col("start").alias("start"), F.col("stop").alias("stop")
     )
     earliest = found.groupBy("digest").agg(F.min(rank).alias("kept"), F.max(rank).alias("last")).filter("kept != last").drop("last")
+    # as a table of its own, so that both sides of the join are dealt out anew and a hot digest can be split
+    earliest = cut_lineage(earliest)
     return (
         found.join(earliest, "digest")
         .filter(rank != F.col("kept"))

@@ -352,7 +352,7 @@ def test_repeated_units(spark, empty):
     found = substrings.repeated_units(df)
     whole = dict(texts)
     got = collections.Counter((r.doc_id, whole[r.doc_id][r.start : r.stop], r.kept_doc_id) for r in found.filter("doc_id is not null").collect())
-    assert got == collections.Counter([(2, long, 1), (2, "Then one.", 1), (3, long, 1), (6, "A b.", 5), (6, "C d.", 5), (6, "e f.", 5), (6, "g h.", 5)])
+    assert got == collections.Counter([(2, long, 1), (2, "Then one.", 1), (3, long, 1), (6, "A b. C d.  e f. g h.", 5)])
     assert rows(found.filter("doc_id is null"), "start", "kept_doc_id") == [(0, 1), (len(long) + 1, 1)]
     for r in found.filter("kept_doc_id = 1").collect():
         assert whole[1][r.kept_start : r.kept_stop] in (long.upper(), "THEN one.")
@@ -360,7 +360,7 @@ def test_repeated_units(spark, empty):
     assert cleaned.count() == len(texts)
     by = {r.doc_id: r.text for r in cleaned.collect()}
     assert by[1] == whole[1] and by[2] == "Mine.   And more follows it here." and by[3] == "x\n\n    \ny" and by[4] == whole[4]
-    assert by[6] == "    \nrest" and by[None] == " " and by[9] is None and by[10] == ""
+    assert by[6] == "\nrest" and by[None] == " " and by[9] is None and by[10] == ""
     assert substrings.repeated_units(empty).count() == 0
     assert substrings.substring_dedup(empty).count() == 0
 
@@ -386,10 +386,17 @@ def test_a_passage_of_fifty_words_is_found_wherever_it_stands(spark):
 @pytest.mark.parametrize("unit", ["line", "paragraph", "sentence"])
 def test_units_tile_a_text(unit):
     text = "One. Two! Three?\nFour\n\nFive... six\n \nSeven"
-    spans = [m.span() for m in substrings.UNIT[unit].finditer(text)]
+    spans = [(a, b) for a, b, _ in substrings.text_units(text, unit, 1)]
     covered = {i for a, b in spans for i in range(a, b)}
     assert len(covered) == sum(b - a for a, b in spans)
     assert all(c.isspace() for i, c in enumerate(text) if i not in covered)
+    assert len({d for _, _, d in substrings.text_units("A b c. d.\nA b  C. D.\na b c.", unit, 3)}) == {"line": 2, "paragraph": 1, "sentence": 2}[unit]
+
+
+def test_many_short_sentences_take_one_pass():
+    text = ("Nine words are enough to make a long sentence. " + "No! " * 50_000) + "\n" + "No! " * 50_000
+    found = list(substrings.text_units(text))
+    assert len(found) == 50_002 and len({d for _, _, d in found}) == 50_002
 
 
 def plain_line_dedup(docs, size=3):

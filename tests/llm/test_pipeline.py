@@ -72,3 +72,44 @@ def test_stages_on_awkward_rows(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf)
         docs.count()
+
+
+def test_decontamination_against_aligning_everything(spark, sf):
+    """Every document aligned whole with every item, without seeds."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from strandline.llm import decontaminate, textblocks
+
+    items = [decontaminate.item_of(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    expected = set()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        block = textblocks.block_of(pc.utf8_lower(pa.array([r.text])), only_words=True)
+        words = block.hashed(range_of(block), 1)
+        for item in items:
+            if decontaminate.align(item.words, words)[0] / (decontaminate.MATCH * len(item.words)) >= decontaminate.THRESHOLD:
+                expected.add((r.doc_id, item.number))
+    got = {(r.doc_id, r.item_id) for r in queries.op2_benchmark_decontamination(spark, sf).collect()}
+    assert got == expected and expected
+
+
+def range_of(block):
+    import numpy as np
+
+    return np.arange(int(block.first[-1]))
+
+
+def test_repeated_units_against_plain_python(spark, sf):
+    from strandline.llm import substrings
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("h", F.xxhash64("text")).collect()
+    seen, expected = {}, set()
+    for r in sorted(docs, key=lambda r: (r.doc_id, r.h)):
+        for start, stop, unit in sorted(substrings.text_units(r.text)):
+            if unit in seen:
+                expected.add((r.doc_id, start, stop, *seen[unit]))
+            else:
+                seen[unit] = (r.doc_id, start, stop)
+    found = queries.op6_substring_dedup(spark, sf).collect()
+    got = {(r.doc_id, r.start, r.stop, r.kept_doc_id, r.kept_start, r.kept_stop) for r in found}
+    assert got == expected and len(found) == len(got)
