@@ -36,8 +36,11 @@ def _size_of_changed() -> Column:
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the least doc_id, then the least text hash."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    """One document of each group of near copies stays: the least doc_id, then the least text hash.
+
+    Near copies share 0.8 of their five-word shingles, or have fingerprints at most three bits apart.
+    """
+    return simhash.one_of_each(docs.select(*COLUMNS), size=simhash.WIDE, similarity=simhash.SIMILAR)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

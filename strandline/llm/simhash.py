@@ -23,22 +23,33 @@ from strandline.llm.textblocks import Block, blocks
 
 SHINGLE = 3
 DISTANCE = 3
+#: Shingle size of the similarity that near copies have at least: shared shingles over all different ones of both texts.
+WIDE, SIMILAR = 5, 0.8
+#: A sketch has so many bands of so many least hashes; a pair of similarity s shares no band with probability
+#: (1 - s ** _ROWS) ** _BANDS, 3 in 100,000 at 0.8.
+_BANDS, _ROWS = 20, 4
+_ODD_FACTORS = np.random.default_rng(10).integers(0, 1 << 63, _BANDS * _ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 # byte -> its bits spread over the eight bytes of a long
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 #: Hashes whose bits are counted in bytes before the bytes could run over.
 _GROUP = 255
 
 
+def _shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all word shingles, and the text of each; a text of fewer words is one shingle."""
+    words = np.diff(block.first)
+    begin, text = block.runs(size)
+    short = np.flatnonzero((words > 0) & (words < size))
+    hashes = np.concatenate([block.hashed(begin, size), block.hashed(block.first[short], words[short])])
+    return hashes, np.concatenate([text, short])
+
+
 def block_fingerprints(block: Block, size: int = SHINGLE) -> np.ndarray:
     """64-bit SimHash of each text's word shingles, repeats included: bits set in over half of the hashes.
 
     A text of fewer words than a shingle counts as one shingle; one without words gives zero.
     """
-    words = np.diff(block.first)
-    begin, text = block.runs(size)
-    short = np.flatnonzero((words > 0) & (words < size))
-    hashes = np.concatenate([block.hashed(begin, size), block.hashed(block.first[short], words[short])])
-    text = np.concatenate([text, short])
+    hashes, text = _shingles(block, size)
     order = np.argsort(text, kind="stable")
     hashes, text = hashes[order], text[order]
     out = np.zeros(block.texts, np.uint64)
@@ -116,17 +127,108 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", d
     return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(doc_id, "fp", "component_id")
 
 
-def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def distinct_shingles(block: Block, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, texts that have any, first hash of each of them): every text's different shingles."""
+    hashes, text = _shingles(block, size)
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    new = np.ones(len(text), bool)
+    new[1:] = (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])
+    hashes = hashes[new]
+    some, first = np.unique(text[new], return_index=True)
+    return hashes, some, first
+
+
+def block_sketches(block: Block, size: int = WIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(texts that have words, mark of the set of shingles of each, its bands): equal sets have equal marks."""
+    hashes, some, first = distinct_shingles(block, size)
+    if not len(some):
+        return some, np.zeros(0, np.uint64), np.zeros((0, _BANDS), np.uint64)
+    bands = np.repeat(np.arange(1, _BANDS + 1, dtype=np.uint64)[:, None], len(some), axis=1)
+    for i, factor in enumerate(_ODD_FACTORS):
+        band = (bands[i // _ROWS] ^ np.minimum.reduceat(hashes * factor, first)) * np.uint64(0x9E3779B185EBCA87)
+        bands[i // _ROWS] = band ^ band >> np.uint64(32)
+    return some, np.add.reduceat(hashes, first), bands.T
+
+
+def sketches(df: DataFrame, key: str, text: str, size: int = WIDE) -> DataFrame:
+    """(key, fp, mark, bands) of each whole text; a text without words has mark 0 and no bands."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for at, block in blocks(b.column(1)):
+                fps = block_fingerprints(block).view(np.int64)
+                some, found, bands = block_sketches(block, size)
+                marks, ends = np.zeros(block.texts, np.uint64), np.zeros(block.texts, np.int32)
+                marks[some], ends[some] = found, _BANDS
+                listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(ends)), pa.int32()), pa.array(bands.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(fps)), pa.array(fps), pa.array(marks.view(np.int64)), listed], names=["key", "fp", "mark", "bands"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("key"), text).mapInArrow(batches, f"key {kind}, fp long, mark long, bands array<long>")
+
+
+def _sets(df: DataFrame, text: str, size: int) -> DataFrame:
+    """(mark, grams): the different shingles of the texts of (mark, text)."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for at, block in blocks(b.column(1)):
+                hashes, some, first = distinct_shingles(block, size)
+                listed = pa.ListArray.from_arrays(pa.array(np.append(first, len(hashes)), pa.int32()), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, block.texts).take(pa.array(some)), listed], names=["mark", "grams"])
+
+    return df.select("mark", text).mapInArrow(batches, "mark long, grams array<long>").dropDuplicates(["mark"])
+
+
+def _similar(keyed: DataFrame, text: str, nodes: DataFrame, roots: DataFrame, size: int, least: float, whole: bool) -> DataFrame:
+    """Pairs (a, b) of fingerprints not yet in one component, of texts that share a band and whose similarity is `least` or more.
+
+    Each text of a band is compared with the band's first one or, if `whole`, with all of another component. Bands
+    within one component have nothing to add, so a large group of near copies isn't paired up.
+    """
+    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    held = rooted.select("fp", "mark", "root", F.explode("bands").alias("band"))
+    open_ = held.groupBy("band").agg(F.min(F.struct("root", "mark", "fp")).alias("head"), F.max("root").alias("last"))
+    open_ = cut_lineage(open_.filter("head.root != last").drop("last"))
+    here = held.join(open_, "band")
+    if whole:
+        other = held.join(open_.select("band"), "band").select("band", F.col("root").alias("r"), F.col("mark").alias("m"), F.col("fp").alias("f"))
+        both = here.join(other, "band").filter("root < r").select(F.col("fp").alias("fa"), F.col("mark").alias("a"), F.col("f").alias("fb"), F.col("m").alias("b"))
+    else:
+        both = here.filter("root != head.root").select(F.col("head.fp").alias("fa"), F.col("head.mark").alias("a"), F.col("fp").alias("fb"), F.col("mark").alias("b"))
+    # as tables of their own, so that a hot text can be split in the joins
+    both = cut_lineage(both.distinct())
+    wanted = both.select(F.col("a").alias("mark")).union(both.select("b")).distinct()
+    at = nodes.join(wanted, "mark").groupBy("mark").agg(F.min("first").alias("first"))
+    at = cut_lineage(at.select("mark", F.col("first.id").alias("_at_id"), F.col("first.hash").alias("_at_hash")))
+    same = F.col("_id").eqNullSafe(F.col("_at_id")) & (F.col("_hash") == F.col("_at_hash"))
+    sets = cut_lineage(_sets(keyed.select("_id", "_hash", text).join(at, same).select("mark", text), text, size))
+    x, y = (sets.select(F.col("mark").alias(m), F.col("grams").alias(g)) for m, g in (("a", "x"), ("b", "y")))
+    shared = F.size(F.array_intersect("x", "y"))
+    close = shared / (F.size("x") + F.size("y") - shared) >= least
+    return cut_lineage(both.join(y, "b").join(x, "a").filter(close).select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WIDE, similarity: float | None = None) -> DataFrame:
     """The rows of `df`, all columns, that stand for their groups of near copies: one row of each group.
 
+    Near copies are texts linked by their fingerprints as in `near_duplicates` and, if `similarity` is given, texts
+    whose shingles of `size` words have a Jaccard similarity of so much or more. Pairs of the second kind are looked up by bands of least
+    hashes and compared exactly; groups are chains of either.
     The row with the least doc_id stays (nulls last), then the least text hash; of rows equal in both,
     any one.
     """
     keyed = df.withColumns({"_id": F.col(doc_id), "_hash": F.coalesce(F.xxhash64(text), F.lit(0))})
-    marked = cut_lineage(fingerprints(keyed.select(F.struct("_id", "_hash").alias("key"), text), "key", text))
+    marked = cut_lineage(sketches(keyed.select(F.struct("_id", "_hash").alias("key"), text), "key", text, size))
     rank = F.struct(F.col("key._id").isNull().alias("none"), F.col("key._id").alias("id"), F.col("key._hash").alias("hash"))
-    distinct = marked.groupBy("fp").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
-    roots = component_roots(links(distinct), "a", "b")
+    # equal marks have equal bands
+    nodes = cut_lineage(marked.groupBy("fp", "mark").agg(F.min(rank).alias("first"), F.first("bands").alias("bands")))
+    distinct = nodes.groupBy("fp").agg(F.min("first").alias("first"))
+    linked = cut_lineage(links(distinct))
+    for whole in (False, True) if similarity is not None else ():
+        linked = linked.unionByName(_similar(keyed, text, nodes, component_roots(linked, "a", "b"), size, similarity, whole))
+    roots = component_roots(linked, "a", "b")
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     chosen = rooted.groupBy("root").agg(F.min("first").alias("first"))
     repeats = marked.groupBy("key").agg(F.count(F.lit(1)).alias("times"))

@@ -592,6 +592,24 @@ def test_one_of_each_keeps_one_row_a_group(spark, docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_near_copies_of_similarity_0_8_go_as_well(spark):
+    def text(name, *changed):
+        return " ".join(f"{'other' if i in changed else name}{i}" for i in range(120))
+
+    def jaccard(a, b):
+        x, y = ({tuple(t.split()[i : i + 5]) for i in range(116)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    chain = [text("a"), text("a", 30, 70), text("a", 30, 70, 50, 90)]  # the ends are less alike than 0.8
+    apart = [text("b"), text("b", 30, 60, 90)]
+    assert jaccard(*chain[:2]) >= 0.8 and jaccard(*chain[1:]) >= 0.8 > jaccard(chain[0], chain[2])
+    assert jaccard(*apart) < 0.8
+    assert all((plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count() > 3 for a, b in (chain[:2], chain[1:], apart))
+    copies = [text("c", 10 + k, 60 + k) for k in range(40)]  # one group, over the text that they are copies of
+    got = simhash.one_of_each(table(spark, [*enumerate(chain), *enumerate(apart, 10), (20, text("c")), *enumerate(copies, 21), (None, chain[1]), (None, "")]), similarity=simhash.SIMILAR)
+    assert sorted((r.doc_id is None, r.doc_id) for r in got.collect()) == [(False, 0), (False, 10), (False, 11), (False, 20), (True, None)]
+
+
 def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1001, 1002), (7000, 7000)]
     df = spark.createDataFrame(chain, "a long, b long")
