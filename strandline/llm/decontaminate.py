@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Word n-grams of the benchmark items are looked up in every document; those that occur in
-unusually many documents for their item are dropped as seeds. Around the hits of the rare ones,
-the document's words are aligned with the item's, and the alignment's score over the best
-possible one tells how much of the item the document holds, edits allowed.
+Word n-grams of the benchmark items are looked up in every document, and around the hits the
+document's words are aligned with the item's; the alignment's score over the best possible one
+tells how much of the item the document holds, edits allowed. Hits of n-grams that occur in
+unusually many documents for their item are many: where no rare one is near, the words in
+common are counted first, and stretches that can't reach the threshold are passed over.
 """
 
 from __future__ import annotations
@@ -85,6 +86,18 @@ def spans(item: Item, hits: list[tuple[int, int]], count: int) -> list[tuple[int
     return out
 
 
+def may_hold(item: np.ndarray, words: np.ndarray, threshold: float) -> bool:
+    """False only if no alignment of the two can reach the threshold, by the words that they have in common.
+
+    With m matches, an alignment of score s or more has at most 2 m - s other words, so it spans at most 3 m - s words.
+    """
+    least = threshold * MATCH * len(item)
+    common = np.append(0, np.cumsum(np.isin(words, item)))
+    reach = max(1, int((MATCH + 1) * len(item) - least))
+    most = int((common[reach:] - common[:-reach]).max()) if len(common) > reach else int(common[-1])
+    return MATCH * min(most, int(np.isin(item, words).sum())) >= least
+
+
 def _hits(block: Block, wanted: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, word of the text, seed) of the runs whose hash is in the sorted array `wanted`."""
     begin, text = block.runs(size)
@@ -149,32 +162,34 @@ def contaminated(
     then the first. Documents equal in doc_id and text come out once.
 
     The benchmark's items are read on the driver, where a check bounds their number of words; the
-    documents are read twice where they lie, and no text is shuffled.
+    documents are read twice where they lie, and no text is shuffled. Every seed counts, rare or not.
     """
     words = benchmark.select(F.sum(F.size(F.split(F.col(item_text), r"\s+")))).first()[0] or 0
     if words > MOST_BROADCAST:
         raise ValueError(f"the benchmark has {words} words; call this for parts of at most {MOST_BROADCAST}")
     items = [item_of(r[0], r[1]) for r in benchmark.select(item_id, item_text).dropDuplicates().collect()]
     keep = rare_seeds(items, seed_counts(docs, text, items))
-    by_size = _by_size(items, keep)
-    places: dict[int, list[tuple[int, int]]] = {}
+    by_size = _by_size(items)
+    places: dict[int, list[tuple[int, int, bool]]] = {}
     for k, i in enumerate(items):
         for s in i.seeds:
-            if s in keep:
-                places.setdefault(s, []).extend((k, at) for at in i.seeds[s])
+            places.setdefault(s, []).extend((k, at, s in keep) for at in i.seeds[s])
     shared = docs.sparkSession.sparkContext.broadcast((items, by_size, places))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, by_size, places = shared.value
-        known: dict[tuple[int, bytes], tuple[int, int]] = {}
+        known: dict[tuple[int, bytes], tuple[int, int]] = {}  # (0, 0) where the threshold is out of reach
         names = ["id", "hash", "item", "score", "first_word", "last_word"]
         for b in it:
             for first_row, block in _blocks(b.column(2)):
                 found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+                rare: dict[tuple[int, int], list[int]] = {}
                 for size, wanted in by_size.items():
                     for t, p, h in zip(*(x.tolist() for x in _hits(block, wanted, size))):
-                        for k, own in places.get(h if h < 1 << 63 else h - (1 << 64), ()):
+                        for k, own, few in places.get(h if h < 1 << 63 else h - (1 << 64), ()):
                             found.setdefault((t, k), []).append((p, own))
+                            if few:
+                                rare.setdefault((t, k), []).append(p)
                 rows: list[tuple] = []
                 for (t, k), hits in found.items():
                     begin, stop = int(block.first[t]), int(block.first[t + 1])
@@ -186,7 +201,8 @@ def contaminated(
                         if mark not in known:
                             if len(known) > 20_000:
                                 known.clear()
-                            known[mark] = align(item.words, part)
+                            near = any(lo <= p < hi for p in rare.get((t, k), ()))
+                            known[mark] = align(item.words, part) if near or may_hold(item.words, part, threshold) else (0, 0)
                         score, end = known[mark]
                         share = score / (MATCH * len(item.words))
                         if share >= threshold and share > best[0]:

@@ -196,6 +196,27 @@ def test_seeds_that_are_common_for_their_item_are_dropped():
     assert decontaminate.rare_seeds(items, {s: 10**9 for s in seeds}) == set(seeds)
 
 
+def test_copies_in_many_documents_are_found(spark):
+    words = [f"w{i}" for i in range(40)]
+    edited = " ".join("other" if i % 5 == 2 else w for i, w in enumerate(words))
+    half = " ".join(words[:21])
+    df = table(spark, [(i, f"{edited} and {i}") for i in range(30)] + [(100 + i, f"{i} before {half}") for i in range(30)] + [(200 + i, " ".join(words[:8])) for i in range(9)])
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    found = {r.doc_id: r.score for r in decontaminate.contaminated(df, bench).collect()}
+    assert found == {i: pytest.approx(0.7) for i in range(30)} | {100 + i: pytest.approx(0.525) for i in range(30)}
+    only_half = decontaminate.contaminated(df.filter("doc_id >= 100"), bench)
+    assert {r.doc_id for r in only_half.collect()} == set(range(100, 130))
+
+
+def test_bound_by_common_words_loses_no_alignment():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = rng.integers(0, 9, rng.integers(1, 12)).astype(np.uint64), rng.integers(0, 16, rng.integers(0, 60)).astype(np.uint64)
+        for threshold in (0.3, 0.5, 0.8, 1.0):
+            if decontaminate.align(a, b)[0] >= threshold * decontaminate.MATCH * len(a):
+                assert decontaminate.may_hold(a, b, threshold)
+
+
 # ---- 3 language model
 
 
