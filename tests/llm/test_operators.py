@@ -220,30 +220,60 @@ def test_bound_by_common_words_loses_no_alignment():
 # ---- 3 language model
 
 
-def test_backoff_scores(spark, docs, empty, monkeypatch):
-    monkeypatch.setattr(lm, "PARTITION_BYTES", 1 << 14)
-    monkeypatch.setattr(lm, "BLOCK_BYTES", 1 << 16)
-    words = [(i, WORD.findall(ascii_lower(t or ""))) for i, t in ROWS]
-    one, two = collections.Counter(), collections.Counter()
-    for _, w in words:
-        one.update(w)
-        two.update(zip(w, w[1:]))
-    n = sum(one.values())
-    expected = []
-    for i, w in words:
-        total, down = 0.0, 0
-        for k, x in enumerate(w):
-            if k and two[w[k - 1], x] >= lm.MIN_COUNT:
-                total += math.log(two[w[k - 1], x] / one[w[k - 1]])
-            else:
-                total += math.log(one[x] / n) + (math.log(lm.BACKOFF) if k else 0)
-                down += k > 0
-        expected.append((i or -1, len(w), down, round(total, 3)))
-    got = sorted((r.doc_id or -1, r.n_words, r.n_backoffs, round(r.log_score, 3)) for r in lm.scores(docs).collect())
-    assert got == sorted(expected)
+def plain_backoff(documents, order, leave_out):
+    """(n_words, n_backoffs, n_unseen, log_score) of each list of words, by counting for each of them anew."""
+
+    def grams(words, n):
+        return collections.Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+
+    everywhere = [sum((grams(w, n) for w in documents), collections.Counter()) for n in range(1, order + 1)]
+    out = []
+    for words in documents:
+        own = [grams(words, n) if leave_out else {} for n in range(1, order + 1)]
+        n_all = max(1, sum(map(len, documents)) - (len(words) if leave_out else 0))
+        total, down, unseen = 0.0, 0, 0
+
+        def count(gram):
+            return everywhere[len(gram) - 1][gram] - (own[len(gram) - 1][gram] if leave_out else 0)
+
+        def log_s(gram):
+            if len(gram) == 1:
+                return math.log(max(1, count(gram)) / n_all)
+            return math.log(count(gram) / count(gram[:-1])) if count(gram) else math.log(lm.BACKOFF) + log_s(gram[1:])
+
+        for i, word in enumerate(words):
+            longest = tuple(words[max(0, i - order + 1) : i + 1])
+            total += log_s(longest)
+            down += len(longest) > 1 and not count(longest)
+            unseen += not count((word,))
+        out.append((len(words), down, unseen, round(total, 4)))
+    return out
+
+
+@pytest.mark.parametrize("order, leave_out, sizes", [(3, True, (1 << 12, 1 << 13)), (3, True, (1 << 24, 1 << 24)), (2, False, (1 << 12, 1 << 30)), (1, True, (1 << 20, 1 << 12)), (4, True, (300, 900))])
+def test_backoff_scores(spark, docs, order, leave_out, sizes):
+    more = [(30, "a b c d e a b c"), (31, "a b c d"), (32, "zz a b"), (33, "c d e a " * 40), (33, "c d e a " * 40)]
+    df = docs.filter("doc_id is null or doc_id != 6").unionByName(table(spark, more)).cache()
+    own = [(r.doc_id, WORD.findall(ascii_lower(r.text or ""))) for r in df.collect()]
+    expected = sorted((i or -1, *x) for (i, _), x in zip(own, plain_backoff([w for _, w in own], order, leave_out)))
+    found = lm.scores(df, order=order, leave_one_out=leave_out, block_bytes=sizes[0], partition_bytes=sizes[1])
+    assert found.columns == ["doc_id", "n_words", "n_backoffs", "n_unseen", "log_score"]
+    assert sorted((r.doc_id or -1, *r[1:4], round(r.log_score, 4)) for r in found.collect()) == expected
+
+
+def test_backoff_scores_of_awkward_tables(spark, docs, empty):
     assert lm.scores(empty).count() == 0
     wordless = table(spark, [(1, None), (2, " ")])
     assert rows(lm.scores(wordless), "doc_id", "n_words", "log_score") == [(1, 0, 0.0), (2, 0, 0.0)]
+    assert lm.scores(docs).count() == len(ROWS)  # a text of 60,000 words among them
+
+
+def test_packed_hashes_come_back():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 5000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        assert (lm.unpacked_keys(*lm.packed_keys(keys)) == keys).all()
+        assert (lm.unsqueezed(lm.squeezed(keys), np.uint64, len(keys)) == keys).all()
 
 
 # ---- 4 secrets
