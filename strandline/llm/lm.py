@@ -36,6 +36,8 @@ BACKOFF = 0.4
 BLOCK_BYTES = 16 << 20
 #: Bytes of text whose n-grams share one partition of the count table.
 PARTITION_BYTES = 16 << 20
+#: Words that are scored together, unless one text has more.
+SCORED_WORDS = 1 << 18
 
 _LOW_BITS = 40
 
@@ -210,11 +212,17 @@ def scores(
         (row,) = blocks_.to_pylist()
         first = np.frombuffer(row["first"], np.int64)
         words = np.frombuffer(row["words"], np.uint64)[unsqueezed(row["codes"], np.uint32, int(first[-1]))]
-        own = Words(first, words, order)
-        unique, place = np.unique(own.grams, return_inverse=True)
+        unique = np.unique(Words(first, words, order).grams)
         if len(unique) != len(total):
             raise ValueError("the rows came in another order the second time; write them to a table first")
-        sums = own.scored(total.astype(np.float64), place, leave_one_out)
+        parts, at = [], 0
+        while at < len(first) - 1:  # some documents at once
+            stop = max(at + 1, int(np.searchsorted(first, first[at] + SCORED_WORDS, "right")) - 1)
+            own = Words(first[at : stop + 1] - first[at], words[first[at] : first[stop]], order)
+            grams, place = np.unique(own.grams, return_inverse=True)
+            parts.append(own.scored(total[np.searchsorted(unique, grams)].astype(np.float64), place, leave_one_out))
+            at = stop
+        sums = {k: np.concatenate([p[k] for p in parts]) for k in names}
         return pa.table({"id": pa.array(row["ids"], id_type), **{k: sums[k] for k in names}})
 
     replies = totals(requests(rows, parts, order, block_bytes), parts)

@@ -251,7 +251,8 @@ def plain_backoff(documents, order, leave_out):
 
 
 @pytest.mark.parametrize("order, leave_out, sizes", [(3, True, (1 << 12, 1 << 13)), (3, True, (1 << 24, 1 << 24)), (2, False, (1 << 12, 1 << 30)), (1, True, (1 << 20, 1 << 12)), (4, True, (300, 900))])
-def test_backoff_scores(spark, docs, order, leave_out, sizes):
+def test_backoff_scores(spark, docs, monkeypatch, order, leave_out, sizes):
+    monkeypatch.setattr(lm, "SCORED_WORDS", 20)
     more = [(30, "a b c d e a b c"), (31, "a b c d"), (32, "zz a b"), (33, "c d e a " * 40), (33, "c d e a " * 40)]
     df = docs.filter("doc_id is null or doc_id != 6").unionByName(table(spark, more)).cache()
     own = [(r.doc_id, WORD.findall(ascii_lower(r.text or ""))) for r in df.collect()]
