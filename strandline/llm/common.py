@@ -22,7 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a local one is set only where none is."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -32,6 +35,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def own_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names for an operator's own use that `df` doesn't have, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any(f"{mark}{n}".lower() in taken for n in names):
+        mark += "_"
+    return [f"{mark}{n}" for n in names]
+
+
 def rows_by_python(
     df: DataFrame, columns: list[str], schema: str, rows: Callable[..., Iterator[tuple]], weigh: int | None = None
 ) -> DataFrame:

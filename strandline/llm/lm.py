@@ -33,11 +33,11 @@ ORDER = 3
 #: What a step down to the shorter n-gram costs.
 BACKOFF = 0.4
 #: Bytes of text in a block, unless one text is longer.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text whose n-grams share one partition of the count table.
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 8 << 20
 #: Words that are scored together, unless one text has more.
-SCORED_WORDS = 1 << 18
+SCORED_WORDS = 1 << 19
 
 _LOW_BITS = 40
 

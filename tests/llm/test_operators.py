@@ -386,69 +386,101 @@ def test_bounded_loads_move_few_keys(spark):
 # ---- 6 and 7 repeated lines
 
 
-def test_repeated_units(spark, empty):
-    long = "This sentence of more than eight words is found in several documents."
-    texts = [
-        (2, f"Mine. {long} Then one. And more follows it here."),
-        (1, f"Start. {long.upper()} THEN one.\nEnd."),
-        (3, f"x\n\n  {long}  \ny"),
-        (3, f"x\n\n  {long}  \ny"),
-        (4, "Then one. It stands alone."),
-        (5, "a b. c d. e f. g h."),
-        (6, "A b. C d.  e f. g h.\nrest"),
-        (None, f"{long} {long}"),
-        (9, None),
-        (10, ""),
-    ]
-    df = table(spark, texts)
-    found = substrings.repeated_units(df)
-    whole = dict(texts)
-    got = collections.Counter((r.doc_id, whole[r.doc_id][r.start : r.stop], r.kept_doc_id) for r in found.filter("doc_id is not null").collect())
-    assert got == collections.Counter([(2, long, 1), (2, "Then one.", 1), (3, long, 1), (6, "A b. C d.  e f. g h.", 5)])
-    assert rows(found.filter("doc_id is null"), "start", "kept_doc_id") == [(0, 1), (len(long) + 1, 1)]
-    for r in found.filter("kept_doc_id = 1").collect():
-        assert whole[1][r.kept_start : r.kept_stop] in (long.upper(), "THEN one.")
-    cleaned = substrings.substring_dedup(df.withColumn("removed", F.lit(1)))
-    assert cleaned.count() == len(texts)
-    by = {r.doc_id: r.text for r in cleaned.collect()}
-    assert by[1] == whole[1] and by[2] == "Mine.   And more follows it here." and by[3] == "x\n\n    \ny" and by[4] == whole[4]
-    assert by[6] == "\nrest" and by[None] == " " and by[9] is None and by[10] == ""
-    assert substrings.repeated_units(empty).count() == 0
-    assert substrings.substring_dedup(empty).count() == 0
+def plain_units(text):
+    """(start, stop, size, words) of the units of a text, word by word."""
+    out, begin = [], []
+
+    def close():
+        if begin:
+            joined = text[begin[0].start() : begin[-1].end()]
+            out.append((begin[0].start(), begin[-1].end(), sum(len(m[0]) for m in begin), re.sub("[ \t-\r]+", " ", joined).lower()))
+            begin.clear()
+
+    at = 0
+    for line in text.split("\n"):
+        for m in re.compile("[\u3000-\u9fff]|[^ \t-\r\u3000-\u9fff]+").finditer(text, at, at + len(line)):
+            begin.append(m)
+            ends = m[0][-1] in ".!?…。！？"
+            picked = xxhash.xxh64_intdigest(m[0].lower(), 42) % substrings.PICKED == 0
+            if (ends and sum(len(x[0]) for x in begin) >= substrings.SHORT) or (picked and len(begin) >= substrings.LONG):
+                close()
+        close()
+        at += len(line) + 1
+    return out
+
+
+def plain_repeats(documents, passage):
+    """{(doc_id, start, stop, kept_doc_id, kept_start, kept_stop)} of (doc_id, hash, text) without nulls."""
+    seen, found = {}, set()
+    for i, _, text in sorted(set(documents)):
+        run = []
 
+        def close():
+            if sum(size for size, _ in run) >= passage:
+                found.update(row for _, row in run)
+            run.clear()
 
-def test_a_passage_of_fifty_words_is_found_wherever_it_stands(spark):
+        for start, stop, size, words in plain_units(text):
+            if words in seen:
+                run.append((size, (i, start, stop, *seen[words])))
+            else:
+                seen[words] = (i, start, stop)
+                close()
+        close()
+    return found
+
+
+REPEATED = (
+    "This sentence of quite some words is found in several documents. And so is the one after it, word by word. Short. So. "
+    "A passage that is worth removing has more than fifty words, and they stand in the same order in each of its copies, "
+    "although the words in front of it and those after it are others. Nothing else is alike."
+)
+
+
+def repeating_texts():
     rng = np.random.default_rng(8)
 
     def words(n):
-        return ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)]
-
-    sentences = [" ".join(words(n)).capitalize() + "." for n in (3, 12, 2, 9, 14, 4, 10, 3)]
-    passage = " ".join(sentences)
-    texts = [(i, " ".join(words(40)) + ". " + passage + " " + " ".join(words(30)) + ".") for i in range(3)]
-    texts += [(9, " ".join(words(60)) + ".")]
-    found = substrings.repeated_units(table(spark, texts))
-    for i, t in texts[1:3]:
-        spans = [(r.start, r.stop) for r in found.filter(F.col("doc_id") == i).collect()]
-        removed = "".join(t[a:b] for a, b in sorted(spans)).replace(" ", "")
-        assert len(removed) > 0.9 * len(passage.replace(" ", "")) and removed in passage.replace(" ", "")
-    assert found.filter("doc_id in (0, 9)").count() == 0
-
-
-@pytest.mark.parametrize("unit", ["line", "paragraph", "sentence"])
-def test_units_tile_a_text(unit):
-    text = "One. Two! Three?\nFour\n\nFive... six\n \nSeven"
-    spans = [(a, b) for a, b, _ in substrings.text_units(text, unit, 1)]
-    covered = {i for a, b in spans for i in range(a, b)}
-    assert len(covered) == sum(b - a for a, b in spans)
-    assert all(c.isspace() for i, c in enumerate(text) if i not in covered)
-    assert len({d for _, _, d in substrings.text_units("A b c. d.\nA b  C. D.\na b c.", unit, 3)}) == {"line": 2, "paragraph": 1, "sentence": 2}[unit]
-
-
-def test_many_short_sentences_take_one_pass():
-    text = ("Nine words are enough to make a long sentence. " + "No! " * 50_000) + "\n" + "No! " * 50_000
-    found = list(substrings.text_units(text))
-    assert len(found) == 50_002 and len({d for _, _, d in found}) == 50_002
+        return " ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n))
+
+    wide = "中文没有空格所以每个字都是一个词。这是第二句话！"
+    texts = [(i, f"{words(9)}. {REPEATED.upper() if i == 3 else REPEATED} {words(7)}\n{words(40)}.") for i in range(6)]
+    texts += [(10 + i, f"{words(5)} {wide * 6} {words(3)}") for i in range(3)]
+    lines = "\n".join(words(3) for _ in range(20))
+    texts += [(20 + i, f"{words(4)}\n{lines}\n{words(4)}") for i in range(3)]
+    unmarked = words(60)
+    texts += [(30 + i, f"{words(11)} {unmarked} {words(30)}") for i in range(3)]
+    return [*texts, (40, "So."), (41, "So. Short."), (42, "the the the " * 200), (43, "a" * 3000), (44, "a" * 3000 + " b"), (45, "İİ. ẞ " * 30), (46, "x İİ. ẞ " * 30), (47, ""), (48, "\n \n"), (49, LONG), (50, LONG + " more")]
+
+
+@pytest.mark.parametrize("passage", [0, substrings.PASSAGE])
+def test_repeated_units_against_plain_python(spark, monkeypatch, passage):
+    monkeypatch.setattr(substrings, "BLOCK_BYTES", 2000)
+    df = table(spark, repeating_texts() + repeating_texts()[:2]).repartition(3)
+    hashed = [(r.doc_id, r.h, r.text) for r in df.withColumn("h", F.xxhash64("text")).collect()]
+    found = substrings.repeated_units(df, passage=passage).collect()
+    got = {(r.doc_id, r.start, r.stop, r.kept_doc_id, r.kept_start, r.kept_stop) for r in found}
+    assert got == plain_repeats(hashed, passage) and len(found) == len(got) and got
+
+
+def test_passages_go_wherever_they_stand_and_short_repeats_stay(spark, empty):
+    texts = dict(repeating_texts())
+    rest = [(None, REPEATED), (None, None), (60, None)]
+    df = table(spark, [*texts.items(), *rest, *rest])
+    cleaned = substrings.substring_dedup(df.withColumns({"removed": F.lit(1), "_id": F.lit("mine")}))
+    assert cleaned.columns == ["doc_id", "text", "_id", "removed"] and cleaned.count() == df.count()
+    by = {r.doc_id: r for r in cleaned.collect()}
+    for first, copies, least in ((0, (1, 2, 3, 4, 5), 70), (10, (11, 12), 100), (20, (21, 22), 400), (30, (31, 32), 200)):
+        assert by[first].text == texts[first] and by[first].removed == []
+        for i in copies:
+            gone = "".join(texts[i][r.start : r.stop] for r in by[i].removed)
+            assert len(gone) >= least and gone.lower().replace(" ", "") in texts[first].lower().replace(" ", "").replace("\n", "")
+            assert by[i].text.replace(" ", "").replace("\n", "") in texts[i].replace(" ", "").replace("\n", "") or by[i].text
+    assert by[40].text == "So." and by[41].text == "So. Short." and by[47].text == "" and by[60].text is None
+    nameless = [r.text for r in cleaned.filter("doc_id is null").collect()]
+    assert len(nameless) == 4 and nameless.count(None) == 2 and all(len(t) < 0.5 * len(REPEATED) for t in nameless if t is not None)
+    assert substrings.repeated_units(empty).count() == 0
+    assert substrings.substring_dedup(empty).count() == 0
 
 
 def plain_line_dedup(docs, size=3):
