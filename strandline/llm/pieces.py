@@ -4,10 +4,15 @@ An Aho-Corasick automaton over the pieces reads a text once; at each position it
 links name every piece that ends there, and each relaxes the best score of that position
 (a Viterbi search for the segmentation with the greatest sum of piece scores). Characters
 that no piece covers fall back to byte pieces, so decoding gives the text back exactly.
+
+The search needs log probabilities, which unigram models hold. A BPE model holds ranks of merges: they
+are turned into log probabilities by Zipf's law, and the ids are then those of the likeliest
+segmentation, not those that the merges in order would give.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -21,6 +26,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: What an uncovered character costs below the least score of a piece.
 UNKNOWN = 10.0
+#: The piece of rank r of a BPE model counts as having a probability in proportion to 1 / (r + ZIPF).
+ZIPF = 100
 #: Segments whose ids a worker remembers.
 REMEMBERED = 250_000
 
@@ -29,12 +36,12 @@ class Pieces:
     """A model's pieces and scores with the automaton over them.
 
     Of equal totals, the one whose last piece is longest wins. A space mark in a text itself is
-    encoded as bytes, since as a piece it stands for a space. The text gets one space in front,
-    as the model's training texts had; decoding takes it off.
+    encoded as bytes, since as a piece it stands for a space. With `prefix` the text gets one space
+    in front, as the model's training texts had; decoding takes it off.
     """
 
-    def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], normal: list[bool]):
-        self.byte_ids = byte_ids
+    def __init__(self, pieces: list[str], scores: list[float], byte_ids: list[int], normal: list[bool], prefix: bool = True):
+        self.byte_ids, self.front = byte_ids, " " if prefix else ""
         self.automaton = ahocorasick.Automaton()
         usable = [(p, scores[i], i) for i, p in enumerate(pieces) if normal[i] and p]
         self.unknown = min((s for _, s, _ in usable), default=0.0) - UNKNOWN
@@ -52,14 +59,26 @@ class Pieces:
 
     @classmethod
     def load(cls, model_file: str) -> Pieces:
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        ids = range(sp.get_piece_size())
-        pieces = [sp.id_to_piece(i) for i in ids]
-        odd = [sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in ids]
-        byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        return cls(pieces, [sp.get_score(i) for i in ids], byte_ids, [not x for x in odd])
+        """Reads a model of kind unigram or BPE with byte pieces; one whose normaliser rewrites texts is refused."""
+        from sentencepiece.sentencepiece_model_pb2 import ModelProto
+
+        with open(model_file, "rb") as file:
+            model = ModelProto.FromString(file.read())
+        kind, rules = model.trainer_spec.model_type, model.normalizer_spec
+        if kind not in (model.trainer_spec.UNIGRAM, model.trainer_spec.BPE):
+            raise ValueError("only unigram and BPE models have a segmentation to search for")
+        if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.escape_whitespaces:
+            raise ValueError("the model's normaliser rewrites texts, so that pieces don't give them back")
+        one = type(model.pieces[0])
+        scores = [p.score if kind == model.trainer_spec.UNIGRAM else -math.log(max(0.0, -p.score) + ZIPF) for p in model.pieces]
+        most = max(s for p, s in zip(model.pieces, scores) if p.type == one.NORMAL)
+        # pieces that a user defined are to win over what else covers the same characters
+        scores = [len(p.piece) * most - 0.1 if p.type == one.USER_DEFINED else s for p, s in zip(model.pieces, scores)]
+        byte_ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == one.BYTE}
+        if len(byte_ids) != 256:
+            raise ValueError("the model has no byte pieces for characters that it doesn't know")
+        usable = [p.type in (one.NORMAL, one.USER_DEFINED) for p in model.pieces]
+        return cls([p.piece for p in model.pieces], scores, [byte_ids[f"<0x{b:02X}>"] for b in range(256)], usable, rules.add_dummy_prefix)
 
     def best(self, segment: str) -> list[int]:
         """Ids of the best segmentation of one segment."""
@@ -97,11 +116,11 @@ class Pieces:
 
     def encode(self, text: str) -> np.ndarray:
         ids_of, known = self.ids_of, self.known
-        return np.frombuffer(b"".join([known.get(s) or ids_of(s) for s in self.segment.findall(" " + text)]), np.int32)
+        return np.frombuffer(b"".join([known.get(s) or ids_of(s) for s in self.segment.findall(self.front + text)]), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
-        return b"".join([raw[i] for i in ids.tolist()]).decode()[1:]
+        return b"".join([raw[i] for i in ids.tolist()]).decode()[len(self.front) :]
 
 
 _loaded: dict[str, Pieces] = {}
@@ -118,8 +137,9 @@ def encode_texts(df: DataFrame, model_file: str, text: str = "text", keep: list[
     """Adds `ids` (the pieces of the whole text), `n_pieces` and `decoded` (the text got back from the ids).
 
     `model_file` is a path that every executor can read. A null text has null ids and stays null;
-    an empty one has the single piece of the leading space. Columns of `keep` (default: all)
-    that clash with a new one are replaced by it.
+    an empty one has the single piece of the leading space. Repeated rows come out as often as they went in.
+    A text is held whole by one worker, with about 20 bytes a character for the segment in hand, whatever its
+    length. Columns of `keep` (default: all) that clash with a new one are replaced by it.
     """
     new = ("ids", "n_pieces", "decoded")
     keep = [c for c in (keep or df.columns) if c.lower() not in new]
