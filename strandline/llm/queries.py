@@ -34,8 +34,10 @@ def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secrets.train_forest(secrets.sample_findings(spark))
-    found = secrets.scan(read_table(spark, sf_dir, "documents"), forest)
+    docs = read_table(spark, sf_dir, "documents")
+    language = secrets.learn_language(docs)
+    forest = secrets.train_forest(secrets.sample_findings(spark, language), language)
+    found = secrets.scan(docs, forest, language)
     return found.select("doc_id", "start", F.length("candidate").alias("size"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
 
 
