@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import own_names
 from strandline.llm.textblocks import Block, block_of, blocks
 
 SEED_WORDS = 4
@@ -26,8 +27,10 @@ RARE = 4.0
 #: Share of the best possible score from which a document holds an item.
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, 1
-#: Seeds that are sent to every task at most (8 bytes each); more are joined.
+#: Words of the items that are sent to every task at once, unless one item has more; a larger benchmark is taken in parts.
 MOST_BROADCAST = 2_000_000
+#: A word of an item, as texts are cut: letters and digits of ASCII, and all other characters beyond it.
+_ITEM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _blocks(column: pa.Array) -> Iterator[tuple[int, Block]]:
@@ -161,13 +164,31 @@ def contaminated(
     items shorter than a seed only as a whole. A document with several copies of an item gives the best,
     then the first. Documents equal in doc_id and text come out once.
 
-    The benchmark's items are read on the driver, where a check bounds their number of words; the
-    documents are read twice where they lie, and no text is shuffled. Every seed counts, rare or not.
+    Null texts hold nothing; with a threshold of 0 or less every document with a seed of an item holds it.
+    The benchmark's items are read on the driver, in parts of a bounded number of words, each item in one part; for
+    each part the documents are read twice where they lie, and no text is shuffled. Every seed counts, rare or not.
     """
-    words = benchmark.select(F.sum(F.size(F.split(F.col(item_text), r"\s+")))).first()[0] or 0
-    if words > MOST_BROADCAST:
-        raise ValueError(f"the benchmark has {words} words; call this for parts of at most {MOST_BROADCAST}")
-    items = [item_of(r[0], r[1]) for r in benchmark.select(item_id, item_text).dropDuplicates().collect()]
+    rows = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).dropDuplicates()
+    words = rows.groupBy(F.pmod(F.xxhash64("item_id", "text"), F.lit(1024)).alias("cell")).agg(F.sum(F.size(F.regexp_extract_all("text", F.lit(_ITEM_WORD), F.lit(0)))).alias("n"))
+    parts: list[list[int]] = [[]]
+    held = 0
+    for cell, n in sorted((r["cell"], r["n"] or 0) for r in words.collect()):  # 1,024 cells at most
+        if parts[-1] and held + n > MOST_BROADCAST:
+            parts.append([])
+            held = 0
+        parts[-1].append(cell)
+        held += n
+    cell = F.pmod(F.xxhash64("item_id", "text"), F.lit(1024))
+    found = [_held(docs, rows.filter(cell.isin(own)) if len(parts) > 1 else rows, doc_id, text, threshold) for own in parts]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _held(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
+    """`contaminated` for a benchmark (item_id, text) whose items can be sent to every task."""
+    items = [item_of(r[0], r[1]) for r in benchmark.collect()]
     keep = rare_seeds(items, seed_counts(docs, text, items))
     by_size = _by_size(items)
     places: dict[int, list[tuple[int, int, bool]]] = {}
@@ -219,15 +240,16 @@ def contaminated(
                     )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), text)
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     found = rows.mapInArrow(batches, f"id {kind}, hash long, item int, score double, first_word int, last_word int").distinct()
-    ids = docs.sparkSession.createDataFrame([(k, i.number) for k, i in enumerate(items)], f"item int, item_id {benchmark.schema[item_id].dataType.simpleString()}")
+    ids = docs.sparkSession.createDataFrame([(k, i.number) for k, i in enumerate(items)], f"item int, item_id {benchmark.schema["item_id"].dataType.simpleString()}")
     return found.join(F.broadcast(ids), "item").select(F.col("id").alias(doc_id), F.col("hash").alias("text_hash"), "item_id", "score", "first_word", "last_word")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, with all their columns, that hold no item of the benchmark. Rows with a null text stay."""
+    """The rows of `docs`, with all their columns of any names, that hold no item of the benchmark. Rows with a null text stay."""
+    id_, mark = own_names(docs, "id", "mark")
     held = contaminated(docs, benchmark, doc_id, text, threshold=threshold)
-    held = held.select(F.col(doc_id).alias("_held_id"), F.col("text_hash").alias("_held_hash")).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("_held_id")) & (F.xxhash64(text) == F.col("_held_hash"))
+    held = held.select(F.col(doc_id).alias(id_), F.col("text_hash").alias(mark)).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(mark))
     return docs.join(held, same, "left_anti")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandline.llm.common import cut_lineage
+from strandline.llm.common import cut_lineage, own_names
 
 
 SIZE = 3
@@ -22,19 +22,24 @@ def normalised(line: Column) -> Column:
 
 
 def identified(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """`_id` and `_hash` tell documents apart: rows equal in doc_id and text are one document."""
-    return df.withColumns({"_id": F.col(doc_id), "_hash": F.coalesce(F.xxhash64(text), F.lit(0))})
+    """(_id, _hash, text): rows equal in doc_id and text are one document."""
+    return df.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("text"))
 
 
+def windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """(_id, _hash, at, digest, check) for every run of `size` lines that are not all blank; `at` counts lines from 0.
 
-def windows(docs: DataFrame, text: str, size: int = SIZE) -> DataFrame:
-    """(_id, _hash, at, digest) for every run of `size` lines that are not all blank; `at` counts lines from 0."""
-    lines = F.transform(F.split(text, "\n", -1), normalised)
-    hashed = docs.select("_id", "_hash", F.transform(lines, lambda x: F.when(x != "", F.xxhash64(x))).alias("h"))
+    Lines are told apart by two 64-bit hashes, and so are windows.
+    """
+    lines = F.transform(F.split("text", "\n", -1), normalised)
+    both = F.transform(lines, lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("check"), x).alias("b"))))
+    hashed = docs.select("_id", "_hash", both.alias("h"))
     starts = F.when(F.size("h") >= size, F.sequence(F.lit(0), F.size("h") - size))
     runs = F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("h", i + 1, size).alias("run")))
     some = F.filter(runs, lambda r: F.exists(r["run"], lambda x: x.isNotNull()))
-    digests = F.transform(some, lambda r: F.struct(r["at"].alias("at"), F.xxhash64(r["run"]).alias("digest")))
+    digests = F.transform(
+        some, lambda r: F.struct(r["at"].alias("at"), F.xxhash64(r["run"]).alias("digest"), F.xxhash64(F.lit("check"), r["run"]).alias("check"))
+    )
     return hashed.select("_id", "_hash", F.inline(digests))
 
 
@@ -46,17 +51,17 @@ def rank_of(at: str = "at") -> Column:
 def later_windows(found: DataFrame, size: int = SIZE) -> DataFrame:
     """(_id, _hash, first, last): lines of every occurrence but the earliest; lines of the earliest itself are spared."""
     earliest = (
-        found.groupBy("digest")
+        found.groupBy("digest", "check")
         .agg(F.min(rank_of()).alias("kept"), F.max(rank_of()).alias("last"))
         .filter("kept != last")
-        .select("digest", "kept")
+        .select("digest", "check", "kept")
     )
     # as a table of its own, so that both sides of the join are dealt out anew and a hot window can be split
     earliest = cut_lineage(earliest)
     own = F.col("_id").eqNullSafe(F.col("kept.id")) & (F.col("_hash") == F.col("kept.hash"))
     first = F.when(own, F.greatest("at", F.col("kept.at") + size)).otherwise(F.col("at"))
     return (
-        found.join(earliest, "digest")
+        found.join(earliest, ["digest", "check"])
         .filter(rank_of() != F.col("kept"))
         .select("_id", "_hash", first.alias("first"), (F.col("at") + size - 1).alias("last"))
         .filter("first <= last")
@@ -79,20 +84,17 @@ def line_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     Null texts stay null and empty ones empty; texts of fewer lines than a window and windows of blank
     lines only never match. Rows equal in doc_id and text are one document and lose the same lines; the
     earliest occurrence is that of the least doc_id (nulls last), then of the least text hash. A text
-    that loses all lines is empty. A column named `removed_lines` is replaced.
+    that loses all lines is empty. A text of any length is one row of windows. A column named `removed_lines` is
+    replaced; all others stay, whatever their names.
     """
     names = [c for c in df.columns if c.lower() != "removed_lines"]
-    docs = identified(df.select(*names), doc_id, text)
-    found = windows(docs.filter(F.col(text).contains("\n")).select("_id", "_hash", text), text, size)
-    spans = merged(later_windows(found, size)).alias("s")
-    kept = F.filter(
-        F.split(text, "\n", -1), lambda x, i: ~F.exists("removed_lines", lambda r: (i >= r["first"]) & (i <= r["last"]))
-    )
-    joined = docs.alias("d").join(
-        spans, (F.col("d._hash") == F.col("s._hash")) & F.col("d._id").eqNullSafe(F.col("s._id")), "left"
-    )
-    cleaned = F.when(F.col("removed_lines").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    id_, mark, spans_ = own_names(df, "id", "mark", "spans")
+    found = windows(identified(df, doc_id, text).filter(F.col("text").contains("\n")), size)
+    spans = merged(later_windows(found, size)).select(F.col("_id").alias(id_), F.col("_hash").alias(mark), F.col("removed_lines").alias(spans_))
+    own = F.col(f"d.`{text}`")
+    kept = F.filter(F.split(own, "\n", -1), lambda x, i: ~F.exists(spans_, lambda r: (i >= r["first"]) & (i <= r["last"])))
+    same = (F.xxhash64(own) == F.col(mark)) & F.col(f"d.`{doc_id}`").eqNullSafe(F.col(id_))
+    joined = df.alias("d").join(spans, same, "left")
+    cleaned = F.when(F.col(spans_).isNull(), own).otherwise(F.array_join(kept, "\n"))
     empty = F.array().cast("array<struct<first:int,last:int>>")
-    return joined.select(
-        *(cleaned.alias(c) if c == text else F.col(f"d.`{c}`") for c in names), F.coalesce("removed_lines", empty).alias("removed_lines")
-    )
+    return joined.select(*(cleaned.alias(c) if c == text else F.col(f"d.`{c}`") for c in names), F.coalesce(spans_, empty).alias("removed_lines"))

@@ -267,7 +267,8 @@ def scan(df: DataFrame, model: PipelineModel, language: Language, doc_id: str =
 
     Null and empty texts have no candidates; repeated rows give their findings each time; other columns don't matter.
     """
-    found = candidates(df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", "text")
+    # candidates are found once, and join the dictionary's shares of each different one
+    found = cut_lineage(candidates(df.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), "id", "text"))
     scored = model.transform(with_features(found, language))
     score = vector_to_array("probability")[1]
     return scored.select(F.col("id").alias(doc_id), "start", "candidate", "before", "after", score.alias("score"), (score >= threshold).alias("is_secret"))

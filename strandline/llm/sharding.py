@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 
 RING_BITS = 32
 CELL_BITS = 12
+#: Leading bits of the hash that orders the rows of an arc, as far as blocks are cut from it.
+ORDER_BITS = 31
 #: Rows of an arc that one window partition ranks.
 BLOCK_ROWS = 100_000
 #: Copies of one row that one task writes out.
@@ -92,11 +94,20 @@ def shard_rows(
     at the end, so a row that is repeated without bound never meets in one task.
     With slack 0 the shards' row counts differ by one at most; slack c lets a shard hold up to
     (1 + c) times the mean. Null keys share one place on the ring. An empty table gives no rows.
+    Columns named `shard` or `slot` are replaced; all others stay, whatever their names.
+
+    With one shard more, slack 0 moves more keys than the new shard takes, since every shard's bound falls and
+    what overflows walks on; slack 0.25 moves little more than those.
     """
     spark = df.sparkSession
     ring = Ring.of(shards, virtual_nodes)
-    names = df.columns
-    order = order or [c for c in names if c != key]
+    kept = [c for c in df.columns if c.lower() not in ("shard", "slot")]
+    # names of its own, so that none can clash
+    names = [f"c{i}" for i in range(len(kept))]
+    own = dict(zip(kept, names))
+    order = [own[c] for c in (order or [c for c in kept if c != key])]
+    key = own[key]
+    df = df.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))
     distinct = with_arc(df, ring, key).groupBy("_arc", *names).agg(F.count(F.lit(1)).alias("_copies"))
     per_arc = distinct.groupBy("_arc").agg(F.sum("_copies").alias("n"), F.max("_copies").alias("most")).collect()
     counts = {r["_arc"]: r["n"] for r in per_arc}
@@ -106,9 +117,12 @@ def shard_rows(
     # rank of each row in its arc: in blocks, after the rows of earlier blocks
     blocks = {a: -(-n // BLOCK_ROWS) for a, n in counts.items() if n > BLOCK_ROWS}
     blocks_of = F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv))[F.col("_arc")] if blocks else F.lit(1)
-    blocked = distinct.withColumn("_block", F.pmod(F.xxhash64(key, *order), F.coalesce(blocks_of, F.lit(1))).cast("int"))
+    # rows are in the order of a hash of all their columns, whose leading bits make the blocks
+    hashed = F.xxhash64(key, *order)
+    leading = F.shiftrightunsigned(hashed, 64 - ORDER_BITS)
+    blocked = distinct.withColumn("_block", F.shiftright(leading * F.coalesce(blocks_of, F.lit(1)), ORDER_BITS).cast("int"))
     before = Window.partitionBy("_arc").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    within = Window.partitionBy("_arc", "_block").orderBy(F.xxhash64(key), key, *order).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_arc", "_block").orderBy(leading, hashed, key, *order).rowsBetween(Window.unboundedPreceding, -1)
     ranked = blocked.withColumn("_rank", F.coalesce(F.sum("_copies").over(within), F.lit(0)))
     if blocks:
         sizes = blocked.groupBy("_arc", "_block").agg(F.sum("_copies").alias("_n"))
@@ -127,7 +141,7 @@ def shard_rows(
         copied.join(F.broadcast(table), "_arc")
         .withColumn("_segment", found)
         .select(
-            *names,
+            *(F.col(n).alias(c) for c, n in own.items()),
             F.col("_segment.shard").alias("shard"),
             (F.col("_segment.slot") + F.col("_rank") - F.col("_segment.rank")).alias("slot"),
         )

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut_lineage
+from strandline.llm.common import cut_lineage, own_names
 from strandline.llm.components import component_roots
 from strandline.llm.textblocks import Block, blocks
 
@@ -217,31 +217,34 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     whose shingles of `size` words have a Jaccard similarity of so much or more. Pairs of the second kind are looked up by bands of least
     hashes and compared exactly; groups are chains of either.
     The row with the least doc_id stays (nulls last), then the least text hash; of rows equal in both,
-    any one.
+    any one. Null, empty and blank texts have fingerprint zero and are one group. Columns of any names stay as they are.
     """
-    keyed = df.withColumns({"_id": F.col(doc_id), "_hash": F.coalesce(F.xxhash64(text), F.lit(0))})
-    marked = cut_lineage(sketches(keyed.select(F.struct("_id", "_hash").alias("key"), text), "key", text, size))
+    own, hashed = F.col(doc_id), F.coalesce(F.xxhash64(text), F.lit(0))
+    keyed = df.select(own.alias("_id"), hashed.alias("_hash"), F.col(text).alias("text"))
+    marked = cut_lineage(sketches(keyed.select(F.struct("_id", "_hash").alias("key"), "text"), "key", "text", size))
     rank = F.struct(F.col("key._id").isNull().alias("none"), F.col("key._id").alias("id"), F.col("key._hash").alias("hash"))
     # equal marks have equal bands
     nodes = cut_lineage(marked.groupBy("fp", "mark").agg(F.min(rank).alias("first"), F.first("bands").alias("bands")))
     distinct = nodes.groupBy("fp").agg(F.min("first").alias("first"))
     linked = cut_lineage(links(distinct))
     for whole in (False, True) if similarity is not None else ():
-        linked = linked.unionByName(_similar(keyed, text, nodes, component_roots(linked, "a", "b"), size, similarity, whole))
+        linked = linked.unionByName(_similar(keyed, "text", nodes, component_roots(linked, "a", "b"), size, similarity, whole))
     roots = component_roots(linked, "a", "b")
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     chosen = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    id_, mark, times = own_names(df, "id", "mark", "times")
     repeats = marked.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     kept = cut_lineage(
         chosen.select(F.struct(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash")).alias("key"))
         .join(repeats, "key")
-        .select(F.col("key._id").alias("_kept_id"), F.col("key._hash").alias("_kept_hash"), "times")
+        .select(F.col("key._id").alias(id_), F.col("key._hash").alias(mark), F.col("times").alias(times))
     )
-    same = F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_hash") == F.col("_kept_hash"))
-    out = keyed.join(kept.filter("times = 1"), same, "left_semi")
-    if kept.filter("times > 1").limit(1).count():
-        out = out.unionByName(keyed.join(kept.filter("times > 1"), same, "left_semi").dropDuplicates(["_id", "_hash"]))
-    return out.drop("_id", "_hash")
+    same = F.col(f"d.`{doc_id}`").eqNullSafe(F.col(id_)) & (F.coalesce(F.xxhash64(F.col(f"d.`{text}`")), F.lit(0)) == F.col(mark))
+    out = df.alias("d").join(kept.filter(F.col(times) == 1), same, "left_semi")
+    if kept.filter(F.col(times) > 1).limit(1).count():
+        again = df.alias("d").join(kept.filter(F.col(times) > 1), same).dropDuplicates([id_, mark])
+        out = out.unionByName(again.select(*(F.col(f"d.`{c}`") for c in df.columns)))
+    return out
 
 
 def hex_fingerprint(fp: Column) -> Column:

@@ -161,11 +161,16 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def decompress(data: bytes, compression: int) -> bytes:
+#: Bytes that one byte of a file can stand for at most: the longest entry of an LZW table for a code of 12 bits.
+MOST_EXPANDED = 3000
+
+
+def decompress(data: bytes, compression: int, need: int) -> bytes:
+    """`need` bytes or more of a strip or tile, or as many as there are."""
     if compression == NONE:
         return data
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, max(1, need))
     if compression == PACKBITS:
         return packbits_decode(data)
     if compression == LZW:
@@ -210,7 +215,11 @@ def pages(data: bytes) -> Iterator[Page]:
         compression, predictor = f.get(COMPRESSION, (NONE,))[0], f.get(PREDICTOR, (1,))[0]
         if bits not in (8, 16) or f.get(PLANAR, (1,))[0] != 1 or predictor not in (1, 2):
             raise TiffError(f"{bits} bits, planar {f.get(PLANAR, (1,))[0]}, predictor {predictor}")
+        if min(width, height, channels) < 1:
+            raise TiffError(f"{width} by {height} pixels of {channels} samples")
         kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
+        if width * height * channels * kind.itemsize > MOST_EXPANDED * len(data):
+            raise TiffError("an image larger than its file can hold")
         tiled = TILE_OFFSETS in f
         if tiled:
             across, down = f[TILE_WIDTH][0], f[TILE_LENGTH][0]
@@ -218,6 +227,8 @@ def pages(data: bytes) -> Iterator[Page]:
         else:
             across, down = width, min(f.get(ROWS_PER_STRIP, (height,))[0], height) or 1
             offsets, sizes = f.get(STRIP_OFFSETS, ()), f.get(STRIP_BYTES, ())
+        if min(across, down) < 1 or across * down * channels * kind.itemsize > MOST_EXPANDED * len(data):
+            raise TiffError(f"strips or tiles of {across} by {down} pixels")
         image = np.zeros((height, width, channels), dtype=kind)
         per_row = -(-width // across)
         if len(offsets) != len(sizes) or len(offsets) < per_row * -(-height // down):
@@ -225,8 +236,8 @@ def pages(data: bytes) -> Iterator[Page]:
         for i in range(per_row * -(-height // down)):
             top, left = i // per_row * down, i % per_row * across
             rows = down if tiled else min(down, height - top)
-            raw = decompress(data[offsets[i] : offsets[i] + sizes[i]], compression)
             need = rows * across * channels * kind.itemsize
+            raw = decompress(data[offsets[i] : offsets[i] + sizes[i]], compression, need)
             if len(raw) < need:
                 raise TiffError("a strip or tile is too short")
             block = np.frombuffer(raw, dtype=kind, count=rows * across * channels).reshape(rows, across, channels)
@@ -335,7 +346,7 @@ def page_rows(df: DataFrame, media: str = "media", keep: list[str] | None = None
 
     A null or empty file has no pages. A file that can't be decoded gives the pages before the
     fault and then one row with `error` set and no samples. Columns of `keep` that clash with a
-    page's field are refused.
+    page's field are refused. A page is held whole by one worker, and is no larger than MOST_EXPANDED times its file.
     """
     keep = [c for c in df.columns if c != media] if keep is None else keep
     fields = [x.split()[0] for x in PAGE_FIELDS.split(", ")]
@@ -348,7 +359,7 @@ def page_rows(df: DataFrame, media: str = "media", keep: list[str] | None = None
             for p in pages(data) if data else ():
                 number = p.number
                 yield (*kept, p.number, p.width, p.height, p.channels, p.bits, p.compression, p.predictor, p.tiled, p.samples, feature_of(p), None)
-        except (TiffError, zlib.error, KeyError, IndexError) as e:
+        except (ValueError, ArithmeticError, LookupError, struct.error, zlib.error) as e:
             yield (*kept, number + 1, *[None] * 9, str(e) or type(e).__name__)
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), PAGE_FIELDS])

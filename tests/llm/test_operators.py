@@ -258,6 +258,15 @@ def test_copies_in_many_documents_are_found(spark):
     assert {r.doc_id for r in only_half.collect()} == set(range(100, 130))
 
 
+def test_a_benchmark_in_parts_gives_the_same(spark, docs, monkeypatch):
+    items = [(k, " ".join(f"item{k}word{i}," for i in range(30))) for k in range(8)] + [(9, ITEM), (9, ITEM), (10, None), (11, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = docs.unionByName(table(spark, [(100 + k, t) for k, t in items] + [(200, items[1][1] + " " + ITEM)]))
+    whole = rows(decontaminate.contaminated(df, bench), "doc_id", "item_id", "score", "first_word", "last_word")
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 50)
+    assert rows(decontaminate.contaminated(df, bench), "doc_id", "item_id", "score", "first_word", "last_word") == whole and len(whole) == 11
+
+
 def test_bound_by_common_words_loses_no_alignment():
     rng = np.random.default_rng(4)
     for _ in range(300):
@@ -480,9 +489,8 @@ def test_shards_against_a_walk_of_single_keys(spark, monkeypatch):
         assert max(per.values()) - min(per.values()) <= 1
         for s in range(5):
             assert sorted(r.slot for r in got if r.shard == s) == list(range(per[s]))
-        if block > 500:
-            plain = plain_shards([(r.doc_id, r.p) for r in placed], ring, lambda k: (hashes[k], k), 5)
-            assert collections.Counter((r.doc_id, r.shard) for r in got) == plain
+        plain = plain_shards([(r.doc_id, r.p) for r in placed], ring, lambda k: (hashes[k] & ((1 << 64) - 1)), 5)
+        assert collections.Counter((r.doc_id, r.shard) for r in got) == plain
 
 
 def test_shards_of_awkward_rows(spark, docs, empty, monkeypatch):
@@ -508,6 +516,15 @@ def test_bounded_loads_move_few_keys(spark):
     assert max(loads.values()) <= 1.25 * 4000 / 9 + 2
 
 
+def test_movement_in_the_setting_of_the_query(spark):
+    """Without slack more keys move than the new shard takes, in the plain walk as well; the README has the figures."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    before, after = ({r.doc_id: r.shard for r in sharding.shard_rows(df, "doc_id", n).collect()} for n in (16, 17))
+    moved = sum(before[k] != after[k] for k in before) / len(before)
+    print(f"moved {moved:.3f}")
+    assert 1 / 17 <= moved < 0.25
+
+
 # ---- 6 and 7 repeated lines
 
 
@@ -682,6 +699,32 @@ def test_page_rows(spark):
     assert tiff.page_rows(df.limit(0)).count() == 0
 
 
+def test_altered_headers_never_stop_a_job(spark):
+    images = [np.arange(64 * 9, dtype=np.uint8).reshape(9, 64)]
+    files = []
+    for tile in (None, 16):
+        for compression in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS):
+            good = tiff.encoded(images, compression, 2, 4, tile)
+            rng = np.random.default_rng(compression)
+            for place in [*range(0, 8), *range(len(good) - 150, len(good))]:
+                bad = bytearray(good)
+                bad[place] = int(rng.integers(0, 256)) if place % 3 else (0, 255)[place % 2]
+                files.append(bad)
+            for tag in (tiff.WIDTH, tiff.LENGTH, tiff.SAMPLES, tiff.TILE_WIDTH, tiff.TILE_LENGTH, tiff.ROWS_PER_STRIP):
+                for value in (0, 0xFFFFFFFF):
+                    bad = bytearray(good)
+                    at = int.from_bytes(good[4:8], "little") + 2
+                    for i in range(int.from_bytes(good[at - 2 : at], "little")):
+                        entry = at + 12 * i
+                        if int.from_bytes(good[entry : entry + 2], "little") == tag:
+                            bad[entry + 8 : entry + 12] = value.to_bytes(4, "little")
+                    files.append(bad)
+    found = tiff.page_rows(spark.createDataFrame([(i, f) for i, f in enumerate(files)], "id long, media binary")).collect()
+    assert {r.id for r in found if r.error} and all((r.error is None) == (r.samples is not None) for r in found)
+    for image in (tiff.WIDTH, tiff.LENGTH, tiff.SAMPLES):
+        assert sum(r.error is not None for r in found) > 20
+
+
 def test_text_media(spark, docs, empty):
     found = tiff.text_media(docs).collect()
     assert len(found) == len(ROWS)
@@ -830,15 +873,40 @@ def test_components_of_a_long_chain(spark):
 # ---- all of them
 
 
-def test_columns_with_clashing_names(spark):
-    df = table(spark, extra=True)
-    assert simhash.near_duplicates(df).count() == len(ROWS)
-    assert lm.scores(df).count() == len(ROWS)
-    assert lines.line_dedup(df).count() == len(ROWS)
-    assert substrings.substring_dedup(df).count() == len(ROWS)
-    assert tiff.text_media(df).count() == len(ROWS)
-    assert pieces.encode_texts(df, MODEL).count() == len(ROWS)
-    assert quality.score(df, quality.QualityModel(0.0, np.zeros(1 << quality.BITS))).count() == len(ROWS)
-    assert sharding.shard_rows(df.select("doc_id", "text", "size"), "doc_id", 4, 8).count() == len(ROWS)
+CLASHING = ["_id", "_hash", "i", "h", "hash", "id", "key", "shard", "slot", "_held_id", "_mark", "_spans", "removed", "removed_lines", "digest", "score", "ids", "fp", "component_id", "_arc", "_copies", "c0", "size", "n", "block", "at", "start", "mark", "times", "node", "root"]
+
+
+def test_columns_with_clashing_names(spark, forest, language):
+    """Every operator that hands on columns keeps theirs, but for those that it says it replaces."""
+    few = table(spark, [r for r in ROWS if r[0] != 6] + [(2, ITEM)])
+    df = few.withColumns({c: F.lit(f"own {c}") for c in CLASHING})
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
-    assert decontaminate.clean(df, bench).count() == len(ROWS)
+    model = quality.QualityModel(0.0, np.zeros(1 << quality.BITS))
+    handed = {
+        "lines": (lines.line_dedup(df), {"removed_lines"}),
+        "substrings": (substrings.substring_dedup(df), {"removed"}),
+        "copies": (simhash.one_of_each(df, similarity=simhash.SIMILAR), set()),
+        "clean": (decontaminate.clean(df, bench), set()),
+        "redacted": (secrets.redacted(df, forest, language), set()),
+        "shards": (sharding.shard_rows(df, "doc_id", 4, 8), {"shard", "slot"}),
+        "pieces": (pieces.encode_texts(df, MODEL), {"ids"}),
+        "quality": (quality.score(df, model), {"score"}),
+    }
+    for name, (out, replaced) in handed.items():
+        found = out.collect()
+        assert len(set(out.columns)) == len(out.columns) and set(df.columns) <= set(out.columns), name
+        assert found and all(r[c] == f"own {c}" for r in found for c in CLASHING if c not in replaced), name
+    counts = {"lines": len(ROWS), "substrings": len(ROWS), "redacted": len(ROWS), "shards": len(ROWS), "clean": len(ROWS) - 1}
+    assert {k: handed[k][0].count() for k in counts} == counts
+    for other in (simhash.near_duplicates(df), lm.scores(df), tiff.text_media(df)):
+        assert other.count() == len(ROWS)
+    assert substrings.repeated_units(df).count() >= 0 and secrets.scan(df, forest, language).count() >= 0
+    assert decontaminate.contaminated(df, bench).count() == 1
+
+
+def test_very_long_texts(spark, forest, language):
+    long = "\n".join(f"line {i} of many, password=Abc{i}!x9" for i in range(40_000))
+    df = table(spark, [(1, long), (2, long + "\nmore")])
+    assert secrets.scan(df, forest, language).count() == 80_000
+    assert {(r.doc_id, len(r.text)) for r in lines.line_dedup(df).collect()} == {(1, len(long)), (2, 4)}
+    assert {r.n_bytes for r in tiff.text_media(df).collect()} == {len(long), len(long) + 5}
