@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandline.functions import tokens
-from strandline.operators.sequences import draw
+from strandline.operators.sequences import draw, picked, with_shares
 
 
 
@@ -121,17 +121,14 @@ def skip_grams(sequences: DataFrame, key: str, ids: str, window: int = 5, seed:
     return each.select(key, "target", F.explode(F.concat(before, after)).alias("context"))
 
 
-def with_negatives(pairs: DataFrame, distribution: DataFrame, id_: str, k: int = 4, seed: int = 42, grid: int = 1000) -> DataFrame:
+def with_negatives(pairs: DataFrame, distribution: DataFrame, id_: str, k: int = 4, seed: int = 42) -> DataFrame:
     """(…, candidate, label): each pair's context with label 1 and k draws from the distribution with label 0.
 
-    The distribution is laid out on a grid of equal shares, and a hash of the pair picks places on it.
+    A hash of the pair draws tokens by their share `p`, however small.
     """
-    order = Window.orderBy(id_)
-    laid = distribution.withColumn("_to", F.round(F.sum("p").over(order) * grid).cast("int")).withColumn("_from", F.lag("_to", 1, 0).over(order))
-    cells = laid.filter("_to > _from").select(F.explode(F.sequence(F.col("_from"), F.col("_to") - 1)).alias("_cell"), F.col(id_).alias("candidate"))
+    shares = with_shares(distribution.select(F.col(id_).alias("candidate"), "p"), "candidate", "p").drop("p")
     drawn = pairs.select("*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_k"))
-    drawn = drawn.withColumn("_cell", F.floor(draw("target", "context", "_k", seed=seed) * grid).cast("int"))
-    negative = drawn.join(F.broadcast(cells), "_cell").drop("_cell", "_k").withColumn("label", F.lit(0))
+    negative = picked(drawn, shares, "target", "context", "_k", seed=seed).withColumn("label", F.lit(0))
     return pairs.withColumns({"candidate": F.col("context"), "label": F.lit(1)}).unionByName(negative.select(*pairs.columns, "candidate", "label"))
 
 

@@ -40,15 +40,16 @@ def popular_for_users(users: DataFrame, interactions: DataFrame, ranked: DataFra
     return left.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("user_id", "item_id", F.col("place").alias("rank"))
 
 
-def cooccurrence(df: DataFrame, least: int = 3, most_items: int = 1000, actions: tuple[str, ...] = ("click", "like", "buy", "purchase")) -> DataFrame:
+def cooccurrence(df: DataFrame, least: int = 3, most_items: int | None = None, actions: tuple[str, ...] = ("click", "like", "buy", "purchase")) -> DataFrame:
     """(item_a, item_b, users, score): item pairs that `least` users share; the score is b's weighted events by a's users over the greatest.
 
-    A pair's cost is a user's items squared, so users with over `most_items` different items are taken
-    by their newest ones, as the serving query bounds the users of an item.
+    All items of all users count, unless `most_items` is given: then a user's newest ones. A user costs the
+    square of their items; the join is one that can be split where a user has very many.
     """
     used = df.filter(F.col("action").isin(*actions) & F.col("item_id").isNotNull())
     per = used.withColumn("w", weight(F.col("action"), COOCCURRENCE_WEIGHTS, 0.5)).groupBy("user_id", "item_id").agg(F.sum("w").alias("w"), F.max("ts").alias("ts"))
-    kept = top_per(per, "user_id", [F.desc("ts"), F.col("item_id")], most_items).select("user_id", "item_id", "w")
+    kept = per if most_items is None else top_per(per, "user_id", [F.desc("ts"), F.col("item_id")], most_items)
+    kept = kept.select("user_id", "item_id", "w")
     a = kept.select("user_id", F.col("item_id").alias("item_a"))
     b = kept.select("user_id", F.col("item_id").alias("item_b"), "w")
     pairs = a.join(b, "user_id").filter("item_a != item_b").groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("users"), F.sum("w").alias("weighted"))

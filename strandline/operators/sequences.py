@@ -85,23 +85,62 @@ def draw(*keys: Column | str, seed: int = 42) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) + 0.5) / (1 << 30)
 
 
+def with_shares(pool: DataFrame, key: str, weight: str) -> DataFrame:
+    """Rows of a weight over 0, with `_from` and `_to`: stretches of 0 to 1, one after the other, as long as the weights' shares.
+
+    Sums are taken in 64 blocks by hash of the key, whose own sums follow one another, so no window holds all rows.
+    """
+    cut = pool.filter(F.col(weight) > 0).withColumns({"_block": F.pmod(F.xxhash64(key), F.lit(64)).cast("int"), "_w": F.col(weight).cast("double")})
+    sums = cut.groupBy("_block").agg(F.sum("_w").alias("_sum")).withColumn("_total", F.sum("_sum").over(Window.partitionBy()))  # 64 rows
+    before = F.sum("_sum").over(Window.orderBy("_block"))
+    stretches = sums.select("_block", "_total", (before / F.col("_total")).alias("_end"))
+    stretches = stretches.withColumn("_start", F.lag("_end", 1, 0.0).over(Window.orderBy("_block")))
+    own = Window.partitionBy("_block").orderBy(F.xxhash64(key), key)
+    inner = cut.join(F.broadcast(stretches), "_block").withColumn("_to", F.col("_start") + F.sum("_w").over(own) / F.col("_total"))
+    # each stretch begins where the one before it ends, and the last of a block ends with the block
+    last = F.lead("_to").over(own).isNull()
+    ends = inner.withColumn("_from", F.coalesce(F.lag("_to").over(own), "_start")).withColumn("_to", F.when(last, F.col("_end")).otherwise(F.col("_to")))
+    return ends.drop("_block", "_w", "_total", "_end", "_start")
+
+
+def picked(draws: DataFrame, shares: DataFrame, *keys: Column | str, seed: int = 42) -> DataFrame:
+    """Each row of `draws` with a row of `shares` (see `with_shares`), drawn in proportion to its share by a hash of `keys`.
+
+    Draws and stretches meet in as many equal cells as there are shares, so a stretch is copied once more at most than
+    the cells it covers.
+    """
+    cells = max(1, shares.count())
+    fine = F.pmod(F.xxhash64(F.lit("fine"), F.lit(seed), *keys), F.lit(1 << 22)) / (1 << 22)
+    at = (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) + fine) / (1 << 30)
+    spread = F.sequence(F.floor(F.col("_from") * cells), F.floor(F.col("_to") * cells))
+    near = shares.withColumn("_cell", F.explode(spread))
+    drawn = draws.withColumn("_at", at).withColumn("_cell", F.floor(F.col("_at") * cells))
+    return drawn.join(near, "_cell").filter((F.col("_from") <= F.col("_at")) & (F.col("_at") < F.col("_to"))).drop("_cell", "_at", "_from", "_to")
+
+
 def negatives(positives: DataFrame, pool: DataFrame, count: int = 4, weight: str | None = None, seed: int = 42, tries: int = 4) -> DataFrame:
-    """(user_id, item_id, negative, rank): items of the pool that a user never touched, by a seeded draw.
+    """(user_id, item_id, negative, rank): `count` items of the pool that a user never touched, for each of their positives.
 
-    Each of a user's positives draws from a pool of items ranked from 0 in `place` (with `weight`, an item
-    has as many places as its weight); places are drawn by hash, `tries` times as many as needed, items of
-    the user are anti-joined and the first `count` stay. Fewer may be left, as when drawing with replacement.
+    Items are drawn by a seeded hash, all alike or by `weight` (one of 0 is never drawn), `tries` times as many as
+    needed; items of the user are anti-joined and the first `count` different ones stay. Where too few are left, the
+    pool's items follow in a fixed order, so that a list is short only if the pool has no more items for the user.
     """
-    size = pool.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0] or 1
-    slots = pool if weight is None else pool.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(weight).cast("int"))))
-    ranked = ranks(slots.select(F.col("item_id").alias("negative")), "negative")
-    drawn = positives.select("user_id", "item_id").distinct().withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(count * tries - 1))))
-    drawn = drawn.withColumn("place", F.floor(draw("user_id", "item_id", "try", seed=seed) * size).cast("long"))
-    picked = drawn.join(ranked, "place")
+    own = pool.select(F.col("item_id").alias("negative"), (F.col(weight) if weight else F.lit(1)).alias("_weight")).filter("_weight > 0")
+    wanted = positives.select("user_id", "item_id").distinct()
     touched = positives.select("user_id", F.col("item_id").alias("negative")).distinct()
-    fresh = picked.join(touched, ["user_id", "negative"], "left_anti").groupBy("user_id", "item_id", "negative").agg(F.min("try").alias("try"))
+    tried = wanted.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(count * tries - 1))))
+    drawn = picked(tried, with_shares(own, "negative", "_weight"), "user_id", "item_id", "try", seed=seed)
+    fresh = drawn.join(touched, ["user_id", "negative"], "left_anti").groupBy("user_id", "item_id", "negative").agg(F.min("try").alias("try"))
+    # a user can have lost no more places of the fixed order than they touched items
+    found = fresh.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("_n"))
+    lost = touched.groupBy("user_id").agg(F.count(F.lit(1)).alias("_lost"))
+    short = wanted.join(found, ["user_id", "item_id"], "left").filter(F.coalesce("_n", F.lit(0)) < count).join(lost, "user_id")
+    places = short.select("user_id", "item_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lost") + 2 * count)).alias("place"))
+    rest = places.join(ranks(own.select("negative"), "negative"), "place").join(touched, ["user_id", "negative"], "left_anti")
+    rest = rest.select("user_id", "item_id", "negative", (F.col("place") + count * tries).alias("try"))
+    both = fresh.unionByName(rest).groupBy("user_id", "item_id", "negative").agg(F.min("try").alias("try"))
     w = Window.partitionBy("user_id", "item_id").orderBy("try", "negative")
-    return fresh.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= count).select("user_id", "item_id", "negative", "rank")
+    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= count).select("user_id", "item_id", "negative", "rank")
 
 
 def ranks(df: DataFrame, key: str, blocks: int = 64) -> DataFrame:
@@ -119,6 +158,14 @@ def contrastive(df: DataFrame, most: int = 100) -> DataFrame:
     return next_item_samples(df, most).select("user_id", "event_id", F.col("history").alias("anchor"), F.col("item_id").alias("positive"))
 
 
+def contrastive_triples(df: DataFrame, pool: DataFrame, most: int = 100, count: int = 4, seed: int = 42) -> DataFrame:
+    """(user_id, event_id, anchor, positive, negatives): `contrastive` with items of the pool that the user never touched, in an array."""
+    drawn = negatives(df.filter("item_id is not null"), pool, count, seed=seed)
+    lists = drawn.groupBy("user_id", F.col("item_id").alias("positive")).agg(F.sort_array(F.collect_list(F.struct("rank", "negative"))).alias("_l"))
+    joined = contrastive(df, most).join(lists, ["user_id", "positive"], "left")
+    return joined.select("user_id", "event_id", "anchor", "positive", F.coalesce(F.col("_l.negative"), F.array().cast(lists.schema["_l"].dataType.elementType["negative"].dataType.simpleString().join(("array<", ">")))).alias("negatives"))
+
+
 def dropout(events: Column, key: Column, rate: float = 0.1, seed: int = 42) -> Column:
     """Elements of an array left after a seeded dropout; the first one if none would be."""
     kept = F.filter(events, lambda e, i: draw(key, i, seed=seed) >= rate)

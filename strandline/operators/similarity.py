@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from strandline.functions import vectors
 from strandline.operators.statistics import top_per
 
-#: Rows of a block of vectors, and how many blocks meet in one task's product.
-BLOCK = 512
+#: Vectors of a block, two of which meet in one task, and rows of one product there.
+BLOCK, SLICE = 4096, 512
 
 
 def top_k(df: DataFrame, query: list[float], k: int, id_: str = "vec_id", vector: str = "embedding", exclude: list | None = None, digits: int = 6) -> DataFrame:
@@ -27,12 +27,14 @@ def _block_rows(df: DataFrame, id_: str, vector: str, extra: list[str]) -> DataF
     return df.select(F.col(id_).alias("id"), vectors.normalised(F.col(vector)).alias("v"), *extra)
 
 
-def all_pairs_top_k(queries: DataFrame, base: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", blocks: int = 16, digits: int = 6) -> DataFrame:
+def all_pairs_top_k(queries: DataFrame, base: DataFrame, k: int, id_: str = "vec_id", vector: str = "embedding", blocks: int | None = None, digits: int = 6) -> DataFrame:
     """(query, vec_id, similarity, rank): for every query the k most similar other rows.
 
-    Queries and base are cut into blocks by hash of the id; each pair of blocks is one matrix product, which keeps
-    k rows a query, and the blocks' winners are ranked once more. A task holds two blocks, never a whole side.
+    Queries and base are cut into blocks of about BLOCK rows by hash of the id; each pair of blocks is multiplied,
+    SLICE queries at once, keeping k rows a query, and the blocks' winners are ranked once more. A task holds two
+    blocks, never a whole side.
     """
+    blocks = blocks or max(1, -(-max(queries.count(), base.count()) // BLOCK))
     q = _block_rows(queries, id_, vector, []).withColumn("bq", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     b = _block_rows(base, id_, vector, []).withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = q.withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -44,20 +46,31 @@ def all_pairs_top_k(queries: DataFrame, base: DataFrame, k: int, id_: str = "vec
             return pa.table({"query": a["id"].slice(0, 0), id_: a["id"].slice(0, 0), "similarity": pa.array([], pa.float64())})
         x, y = (np.array(t["v"].to_pylist(), dtype=np.float64) for t in (a, c))
         ids_a, ids_c = (np.array(t["id"].to_pylist()) for t in (a, c))
-        s = np.round(x @ y.T, digits)
         out_q, out_b, out_s = [], [], []
         for i in range(len(ids_a)):
-            order = np.lexsort((ids_c, -s[i]))
+            if i % SLICE == 0:
+                s = np.round(x[i : i + SLICE] @ y.T, digits)
+            own = s[i % SLICE]
+            order = np.lexsort((ids_c, -own))
             order = order[ids_c[order] != ids_a[i]][:k]
             out_q.append(np.repeat(ids_a[i], len(order)))
             out_b.append(ids_c[order])
-            out_s.append(s[i, order])
+            out_s.append(own[order])
         return pa.table({"query": np.concatenate(out_q), id_: np.concatenate(out_b), "similarity": np.concatenate(out_s)})
 
     found = left.groupBy("bq", "bb").cogroup(right.groupBy("bq", "bb")).applyInArrow(product, f"query {kind}, {id_} {kind}, similarity double")
     return top_per(found, "query", [F.desc("similarity"), F.col(id_)], k)
 
 
+def similarity_matrix(df: DataFrame, ids: list, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(a, b, similarity): the cosine of each two of the chosen vectors, with themselves too. Ids that aren't there give no rows."""
+    chosen = df.filter(F.col(id_).isin(ids)).select(F.col(id_).alias("a"), F.col(vector).alias("x"))
+    others = chosen.select(F.col("a").alias("b"), F.col("x").alias("y"))
+    # as many rows as ids, which a caller lists
+    pairs = chosen.join(F.broadcast(others))
+    return pairs.select("a", "b", vectors.cosine(F.col("x"), F.col("y")).alias("similarity"))
+
+
 def analogy(df: DataFrame, a: object, b: object, c: object, k: int, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Rows most like b - a + c, the three left out."""
     three = {r[0]: r[1] for r in df.filter(F.col(id_).isin(a, b, c)).select(id_, vector).collect()}  # three rows

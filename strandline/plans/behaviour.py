@@ -233,6 +233,14 @@ def ar05_contrastive(spark: SparkSession, d: str) -> DataFrame:
     return sequences.contrastive(behaviours(spark, d), 10).select("user_id", "event_id", joined("anchor").alias("anchor"), "positive")
 
 
+@query()
+def ar05_contrastive_triples(spark: SparkSession, d: str) -> DataFrame:
+    """Anchors and positives with items that the user never touched."""
+    ev = behaviours(spark, d)
+    triples = sequences.contrastive_triples(ev, ev.select("item_id").filter("item_id is not null").distinct(), 10, 4)
+    return triples.select("user_id", "event_id", joined("anchor").alias("anchor"), "positive", joined("negatives").alias("negatives"))
+
+
 @query(EV + "SELECT event_id, user_id, CAST(seconds AS BIGINT) AS seconds FROM ev WHERE action IN ('view', 'click')")
 def ar01_explode_events(spark: SparkSession, d: str) -> DataFrame:
     found = sequences.user_sequences(behaviours(spark, d), 1 << 30).select("user_id", F.explode("events").alias("event"))

@@ -33,7 +33,7 @@ def vs01_topk_of_type(spark: SparkSession, d: str) -> DataFrame:
 FROM v a JOIN v b ON a.vec_id <> b.vec_id QUALIFY rank <= 5""")
 def vs02_allpairs_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return similarity.all_pairs_top_k(e, e, 5, blocks=4)
+    return similarity.all_pairs_top_k(e, e, 5)
 
 
 @query()
@@ -50,6 +50,13 @@ def vs04_similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "one").select("a", "b", F.round(vectors.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
+@query(E_SQL + f"""SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS similarity FROM v a, v b WHERE a.vec_id IN (0, 1, 2, 3, 5, 8, 13, 21) AND b.vec_id IN (0, 1, 2, 3, 5, 8, 13, 21)""")
+def vs04_chosen_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """The matrix of chosen vectors."""
+    found = similarity.similarity_matrix(table(spark, d, "embeddings"), [0, 1, 2, 3, 5, 8, 13, 21])
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 @query(E_SQL + """, g AS (SELECT list_transform(list_zip(x.e, y.e, z.e), lambda t: t[2] - t[1] + t[3]) AS e FROM v x, v y, v z WHERE x.vec_id = 1 AND y.vec_id = 2 AND z.vec_id = 3)
 SELECT b.vec_id, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)), 6) AS similarity FROM g a, v b WHERE b.vec_id NOT IN (1, 2, 3) ORDER BY similarity DESC, b.vec_id LIMIT 5""")
 def vs05_analogy(spark: SparkSession, d: str) -> DataFrame:

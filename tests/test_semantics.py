@@ -306,3 +306,35 @@ def test_operators_on_empty_tables(spark):
     empty = log(spark, [])
     for make in (sequences.user_sequences, sequences.sessions, statistics.item_stats, statistics.user_daily, recommend.cooccurrence, statistics.trending):
         assert make(empty).count() == 0
+
+
+def test_draws_follow_the_shares_however_small(spark):
+    n, draws = 2000, 60_000
+    shares = spark.range(n).select(F.col("id").alias("candidate"), F.when(F.col("id") == 7, 0.0).otherwise(1.0 / (F.col("id") + 1)).alias("p"))
+    laid = sequences.with_shares(shares, "candidate", "p")
+    assert laid.count() == n - 1 and abs(laid.agg(F.sum(F.col("_to") - F.col("_from"))).first()[0] - 1) < 1e-9
+    found = sequences.picked(spark.range(draws).withColumnRenamed("id", "draw"), laid, "draw").groupBy("candidate").count().collect()
+    times = {r["candidate"]: r["count"] for r in found}
+    total = sum(1 / (i + 1) for i in range(n) if i != 7)
+    assert sum(times.values()) == draws and 7 not in times
+    beyond = 0
+    for i in range(n):
+        p = 0 if i == 7 else 1 / (i + 1) / total
+        beyond += abs(times.get(i, 0) - draws * p) > 3 * (draws * p * (1 - p)) ** 0.5 + 1
+    assert beyond <= 0.01 * n
+
+
+def test_negative_lists_are_full_where_the_pool_has_items(spark):
+    touched = spark.createDataFrame([(1, i) for i in range(30)] + [(2, 31), (3, 40), (3, 41)], "user_id long, item_id long")
+    pool = spark.createDataFrame([(i, 0 if i == 39 else 1000 if i == 0 else 1) for i in range(40)], "item_id long, weight long")
+    for weight, left in (("weight", 9), (None, 10)):
+        found = sequences.negatives(touched, pool, 8, weight=weight, tries=1).collect()
+        lists = {}
+        for r in found:
+            lists.setdefault((r.user_id, r.item_id), []).append(r.negative)
+        assert len(lists) == 33 and all(len(v) == len(set(v)) == min(8, left) for v in lists.values())
+        own = {(u, i) for u, i in touched.collect()}
+        assert not any((u, n) in own for (u, _), v in lists.items() for n in v)
+        assert weight is None or not any(39 in v for v in lists.values())
+    few = sequences.negatives(touched, pool.filter("item_id < 32"), 8).filter("user_id = 1").collect()
+    assert {r.negative for r in few} == {30, 31}
