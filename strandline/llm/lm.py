@@ -7,8 +7,8 @@ asked for. The block then scores its words and sums them per document. By defaul
 own occurrences don't count for it.
 
 What moves is each different n-gram of a block once, in about six bytes, its count on the way
-back, and the words of the texts as numbers. A row of (n-gram, document) takes three to four
-times as much. A message holds a block's n-grams for one partition, so there are never more
+back, and the words of the texts as numbers. A row of (n-gram, document, count) for each of them
+has 32 bytes before compression. A message holds a block's n-grams for one partition, so there are never more
 messages than rows in that plain join; `block_bytes` and `partition_bytes` are to grow with
 the memory of the executors (about 30 bytes of a worker for each byte of either).
 """
