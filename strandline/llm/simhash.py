@@ -181,33 +181,89 @@ def _sets(df: DataFrame, text: str, size: int) -> DataFrame:
     return df.select("mark", text).mapInArrow(batches, "mark long, grams array<long>").dropDuplicates(["mark"])
 
 
-def _similar(keyed: DataFrame, text: str, nodes: DataFrame, roots: DataFrame, size: int, least: float, whole: bool) -> DataFrame:
-    """Pairs (a, b) of fingerprints not yet in one component, of texts that share a band and whose similarity is `least` or more.
-
-    Each text of a band is compared with the band's first one or, if `whole`, with all of another component. Bands
-    within one component have nothing to add, so a large group of near copies isn't paired up.
-    """
+def _across(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """(band, fp, mark, root, members) of all texts in bands that reach over more than one component."""
+    roots = component_roots(linked, "a", "b")
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     held = rooted.select("fp", "mark", "root", F.explode("bands").alias("band"))
-    open_ = held.groupBy("band").agg(F.min(F.struct("root", "mark", "fp")).alias("head"), F.max("root").alias("last"))
-    open_ = cut_lineage(open_.filter("head.root != last").drop("last"))
-    here = held.join(open_, "band")
-    if whole:
-        other = held.join(open_.select("band"), "band").select("band", F.col("root").alias("r"), F.col("mark").alias("m"), F.col("fp").alias("f"))
-        both = here.join(other, "band").filter("root < r").select(F.col("fp").alias("fa"), F.col("mark").alias("a"), F.col("f").alias("fb"), F.col("m").alias("b"))
-    else:
-        both = here.filter("root != head.root").select(F.col("head.fp").alias("fa"), F.col("head.mark").alias("a"), F.col("fp").alias("fb"), F.col("mark").alias("b"))
-    # as tables of their own, so that a hot text can be split in the joins
-    both = cut_lineage(both.distinct())
-    wanted = both.select(F.col("a").alias("mark")).union(both.select("b")).distinct()
-    at = nodes.join(wanted, "mark").groupBy("mark").agg(F.min("first").alias("first"))
+    # tables of their own, here and below, so that a hot band can be split in the joins
+    return cut_lineage(_open(held, "band").select("band", "fp", "mark", "root", "members"))
+
+
+def _open(rows: DataFrame, *keys: str) -> DataFrame:
+    """Those rows whose keys are in more than one component (`root`), with the number of rows of the keys."""
+    counted = rows.groupBy(*keys).agg(F.min("root").alias("_r"), F.max("root").alias("_s"), F.count(F.lit(1)).alias("members"))
+    return rows.join(cut_lineage(counted.filter("_r != _s").select(*keys, "members")), list(keys))
+
+
+def _with_heads(held: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(band, head, head_fp) and, for each text of a head's bands, (head, mark, whole, size, inside, others).
+
+    The head is the text that meets most others in its bands: of copies edited here and there, that is what they were made from.
+    `whole` and `size` are the shingles of the head and the text, `inside` those in both, `others` what only the text has.
+    """
+    met = held.groupBy("mark").agg(F.sum("members").alias("met"))
+    heads = held.join(met, "mark").groupBy("band").agg(F.max(F.struct("met", "mark", "fp")).alias("h"))
+    heads = cut_lineage(heads.select("band", F.col("h.mark").alias("head"), F.col("h.fp").alias("head_fp")))
+    pairs = cut_lineage(held.join(heads, "band").select("head", "mark").distinct())
+    both = pairs.join(sets, "mark").join(sets.select(F.col("mark").alias("head"), F.col("grams").alias("g")), "head")
+    others = F.array_except("grams", "g")
+    counts = (F.size("g").alias("whole"), F.size("grams").alias("size"), (F.size("grams") - F.size(others)).alias("inside"))
+    return heads, cut_lineage(both.select("head", "mark", *counts, others.alias("others")))
+
+
+def _candidates(held: DataFrame, heads: DataFrame, compared: DataFrame, least: float) -> DataFrame:
+    """Pairs (fa, a, fb, b) of texts in one band and different components that can reach the similarity.
+
+    At similarity s, texts of m and n shingles share s / (1 + s) of m + n. What they share is inside the band's head, or they
+    have a shingle in common that the head lacks; so pairs come by the head if both have enough inside it, and by such shingles.
+    """
+
+    def reach(shared: Column) -> Column:  # the most shingles that a text sharing so many may have
+        return F.floor(shared * ((1 + least) / least) + 1e-6) - F.col("size")
+
+    def paired(rows: DataFrame, *keys: str) -> DataFrame:
+        x, y = rows.alias("x"), rows.alias("y")
+        on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
+        can = F.expr("x.root < y.root AND x.size <= y.most AND y.size <= x.most")
+        names = ((f"{side}.{c}", out) for side, c, out in (("x", "fp", "fa"), ("x", "mark", "a"), ("y", "fp", "fb"), ("y", "mark", "b")))
+        return x.join(y, [*on, can]).select(*(F.col(c).alias(out) for c, out in names))
+
+    texts = cut_lineage(held.drop("members").join(heads.select("band", "head"), "band").join(compared.drop("others"), ["head", "mark"]))
+    by_head = texts.withColumn("most", reach(F.col("inside")))
+    smallest = cut_lineage(by_head.groupBy("band").agg(F.min("size").alias("smallest")))
+    by_head = cut_lineage(_open(by_head.join(smallest, "band").filter("smallest <= most"), "band"))
+
+    grams = texts.select("head", "mark", "fp", "root").distinct().join(compared, ["head", "mark"])
+    grams = grams.select("head", "mark", "fp", "root", "size", "inside", F.explode("others").alias("gram"))
+    grams = cut_lineage(_open(grams, "head", "gram"))
+    more = grams.groupBy("head", "mark", "fp").agg(F.count(F.lit(1)).alias("more"))
+    by_gram = grams.join(more, ["head", "mark", "fp"]).withColumn("most", reach(F.col("inside") + F.col("more")))
+    by_gram = cut_lineage(by_gram.filter(F.col("most") + 1e-6 >= F.col("size") * least))
+    return paired(by_head, "band").union(paired(by_gram, "head", "gram")).distinct()
+
+
+def _similar(keyed: DataFrame, text: str, nodes: DataFrame, linked: DataFrame, size: int, least: float) -> DataFrame:
+    """Links (a, b) of fingerprints for texts that share a band and whose similarity is `least` or more, as far as components need them.
+
+    First each text of a band is compared with the band's head. Bands within one component have nothing to add then, so a
+    large group of near copies isn't paired up; in the others all that can still be similar are compared.
+    """
+    held = _across(nodes, linked)
+    at = nodes.join(held.select("mark").distinct(), "mark").groupBy("mark").agg(F.min("first").alias("first"))
     at = cut_lineage(at.select("mark", F.col("first.id").alias("_at_id"), F.col("first.hash").alias("_at_hash")))
     same = F.col("_id").eqNullSafe(F.col("_at_id")) & (F.col("_hash") == F.col("_at_hash"))
     sets = cut_lineage(_sets(keyed.select("_id", "_hash", text).join(at, same).select("mark", text), text, size))
+    heads, compared = _with_heads(held, sets)
+    close = compared.filter(F.col("inside") / (F.col("whole") + F.col("size") - F.col("inside")) >= least).select("head", "mark")
+    named = close.join(heads.select("head", "head_fp").distinct(), "head").join(held.select("mark", "fp").distinct(), "mark")
+    found = cut_lineage(named.select(F.col("head_fp").alias("a"), F.col("fp").alias("b")).filter("a != b"))
+    pairs = cut_lineage(_candidates(_across(nodes, linked.unionByName(found)), heads, compared, least))
     x, y = (sets.select(F.col("mark").alias(m), F.col("grams").alias(g)) for m, g in (("a", "x"), ("b", "y")))
     shared = F.size(F.array_intersect("x", "y"))
     close = shared / (F.size("x") + F.size("y") - shared) >= least
-    return cut_lineage(both.join(y, "b").join(x, "a").filter(close).select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    rest = pairs.join(y, "b").join(x, "a").filter(close).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+    return found.unionByName(cut_lineage(rest))
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WIDE, similarity: float | None = None) -> DataFrame:
@@ -227,8 +283,8 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     nodes = cut_lineage(marked.groupBy("fp", "mark").agg(F.min(rank).alias("first"), F.first("bands").alias("bands")))
     distinct = nodes.groupBy("fp").agg(F.min("first").alias("first"))
     linked = cut_lineage(links(distinct))
-    for whole in (False, True) if similarity is not None else ():
-        linked = linked.unionByName(_similar(keyed, "text", nodes, component_roots(linked, "a", "b"), size, similarity, whole))
+    if similarity is not None:
+        linked = linked.unionByName(_similar(keyed, "text", nodes, linked, size, similarity))
     roots = component_roots(linked, "a", "b")
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     chosen = rooted.groupBy("root").agg(F.min("first").alias("first"))
