@@ -181,13 +181,12 @@ def _sets(df: DataFrame, text: str, size: int) -> DataFrame:
     return df.select("mark", text).mapInArrow(batches, "mark long, grams array<long>").dropDuplicates(["mark"])
 
 
-def _across(nodes: DataFrame, linked: DataFrame) -> DataFrame:
-    """(band, fp, mark, root, members) of all texts in bands that reach over more than one component."""
-    roots = component_roots(linked, "a", "b")
-    rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    held = rooted.select("fp", "mark", "root", F.explode("bands").alias("band"))
+def _across(texts: DataFrame, linked: DataFrame) -> DataFrame:
+    """(band, fp, mark, root, members) of those of (band, fp, mark) in bands that reach over more than one component."""
+    roots = component_roots(linked, "a", "b").select(F.col("node").alias("fp"), "root")
+    rooted = texts.select("band", "fp", "mark").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # tables of their own, here and below, so that a hot band can be split in the joins
-    return cut_lineage(_open(held, "band").select("band", "fp", "mark", "root", "members"))
+    return cut_lineage(_open(rooted, "band").select("band", "fp", "mark", "root", "members"))
 
 
 def _open(rows: DataFrame, *keys: str) -> DataFrame:
@@ -226,9 +225,11 @@ def _candidates(held: DataFrame, heads: DataFrame, compared: DataFrame, least: f
         x, y = rows.alias("x"), rows.alias("y")
         on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
         can = F.expr("x.root < y.root AND x.size <= y.most AND y.size <= x.most")
-        names = ((f"{side}.{c}", out) for side, c, out in (("x", "fp", "fa"), ("x", "mark", "a"), ("y", "fp", "fb"), ("y", "mark", "b")))
-        return x.join(y, [*on, can]).select(*(F.col(c).alias(out) for c, out in names))
+        ends = ((f"{side}.{c}", out) for side, c, out in (("x", "fp", "fa"), ("x", "mark", "a"), ("y", "fp", "fb"), ("y", "mark", "b")))
+        counts = (F.least("x.inside", "y.inside").alias("inside"), (F.col("x.size") + F.col("y.size")).alias("both"))
+        return x.join(y, [*on, can]).select("x.head", *(F.col(c).alias(out) for c, out in ends), *counts)
 
+    names = ["fa", "a", "fb", "b"]
     texts = cut_lineage(held.drop("members").join(heads.select("band", "head"), "band").join(compared.drop("others"), ["head", "mark"]))
     by_head = texts.withColumn("most", reach(F.col("inside")))
     smallest = cut_lineage(by_head.groupBy("band").agg(F.min("size").alias("smallest")))
@@ -240,7 +241,10 @@ def _candidates(held: DataFrame, heads: DataFrame, compared: DataFrame, least: f
     more = grams.groupBy("head", "mark", "fp").agg(F.count(F.lit(1)).alias("more"))
     by_gram = grams.join(more, ["head", "mark", "fp"]).withColumn("most", reach(F.col("inside") + F.col("more")))
     by_gram = cut_lineage(by_gram.filter(F.col("most") + 1e-6 >= F.col("size") * least))
-    return paired(by_head, "band").union(paired(by_gram, "head", "gram")).distinct()
+    # a row for each shared shingle that the head lacks
+    sharing = paired(by_gram, "head", "gram").groupBy("head", *names).agg(F.min("inside").alias("inside"), F.min("both").alias("both"), F.count(F.lit(1)).alias("n"))
+    sharing = sharing.filter((F.col("n") + F.col("inside")) * (1 + least) + 1e-6 >= F.col("both") * least)
+    return paired(by_head, "band").select(*names).union(sharing.select(*names)).distinct()
 
 
 def _similar(keyed: DataFrame, text: str, nodes: DataFrame, linked: DataFrame, size: int, least: float) -> DataFrame:
@@ -249,7 +253,7 @@ def _similar(keyed: DataFrame, text: str, nodes: DataFrame, linked: DataFrame, s
     First each text of a band is compared with the band's head. Bands within one component have nothing to add then, so a
     large group of near copies isn't paired up; in the others all that can still be similar are compared.
     """
-    held = _across(nodes, linked)
+    held = _across(nodes.select("fp", "mark", F.explode("bands").alias("band")), linked)
     at = nodes.join(held.select("mark").distinct(), "mark").groupBy("mark").agg(F.min("first").alias("first"))
     at = cut_lineage(at.select("mark", F.col("first.id").alias("_at_id"), F.col("first.hash").alias("_at_hash")))
     same = F.col("_id").eqNullSafe(F.col("_at_id")) & (F.col("_hash") == F.col("_at_hash"))
@@ -258,7 +262,7 @@ def _similar(keyed: DataFrame, text: str, nodes: DataFrame, linked: DataFrame, s
     close = compared.filter(F.col("inside") / (F.col("whole") + F.col("size") - F.col("inside")) >= least).select("head", "mark")
     named = close.join(heads.select("head", "head_fp").distinct(), "head").join(held.select("mark", "fp").distinct(), "mark")
     found = cut_lineage(named.select(F.col("head_fp").alias("a"), F.col("fp").alias("b")).filter("a != b"))
-    pairs = cut_lineage(_candidates(_across(nodes, linked.unionByName(found)), heads, compared, least))
+    pairs = cut_lineage(_candidates(_across(held, linked.unionByName(found)), heads, compared, least))
     x, y = (sets.select(F.col("mark").alias(m), F.col("grams").alias(g)) for m, g in (("a", "x"), ("b", "y")))
     shared = F.size(F.array_intersect("x", "y"))
     close = shared / (F.size("x") + F.size("y") - shared) >= least
