@@ -870,6 +870,21 @@ def test_components_of_a_long_chain(spark):
     assert components.component_roots(df.limit(0), "a", "b").count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 150, components.TASK_LINKS])
+def test_components_in_one_task_or_many(spark, monkeypatch, most):
+    """Random links against plain merging, with all rounds spread out, the later ones in one task, and all in one task."""
+    monkeypatch.setattr(components, "TASK_LINKS", most)
+    rng = np.random.default_rng(3)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 260, (170, 2))]
+    want = {n: n for p in pairs if p[0] != p[1] for n in p}
+    for a, b in pairs:
+        if a != b:
+            least, other = sorted((want[a], want[b]))
+            want = {n: least if r == other else r for n, r in want.items()}
+    got = components.component_roots(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()
+    assert sorted((r.node, r.root) for r in got) == sorted(want.items())
+
+
 # ---- all of them
 
 
