@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import decontaminate, lines, lm, pieces, quality, secrets, sharding, simhash, substrings, tiff
+from strandline.llm import audit, decontaminate, graphs, lines, lm, pieces, quality, runs, secrets, sharding, simhash, substrings, tiff
 from strandline.llm import sql as twins
 from strandline.llm.common import read_table
 
@@ -83,6 +83,18 @@ def op10_simhash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(read_table(spark, sf_dir, "documents"), plant=True)
+
+
+def op12_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,8 +108,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_tiff_media,
         op9_quality_ftrl,
         op10_simhash_grid,
+        op11_periodic_runs,
+        op12_pruned_graph,
+        op13_filter_audit,
     )
 }
 
 #: Where SQL can express the result.
-SQL: dict[str, str] = {"op7_line_windows": twins.LINE_WINDOWS}
+SQL: dict[str, str] = {"op7_line_windows": twins.LINE_WINDOWS, "op13_filter_audit": twins.FILTER_AUDIT}

@@ -1,6 +1,6 @@
 """Words of many texts at once, on the bytes that Arrow hands over.
 
-A block lower-cases A-Z, cuts texts at blanks and the control characters 9 to 13 (or at all
+A block lower-cases A-Z (if asked to), cuts texts at blanks and the control characters 9 to 13 (or at all
 marks), and keeps
 the words of all its texts in one byte array with exactly one blank between words, so that a
 run of words is one slice of it. Slices are hashed with XXH64, all of a block together.
@@ -57,13 +57,18 @@ class Block:
         skipped = np.cumsum(counts) - counts
         return self.first[:-1][text] + np.arange(len(text)) - skipped[text], text
 
+    def words(self) -> pa.Array:
+        """All words as an Arrow binary array, each with the blank after it."""
+        offsets = np.append(self.start, self.end[-1] + 1 if len(self.end) else 0)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(offsets), pa.py_buffer(self.data)])
+
     def hashed(self, word: np.ndarray, size: int | np.ndarray) -> np.ndarray:
         """XXH64 of the runs that begin at these words."""
         start = self.start[word]
         return xxh64(self.data, start, self.end[word + size - 1] - start)
 
 
-def block_of(texts: pa.Array, only_words: bool = False) -> Block:
+def block_of(texts: pa.Array, only_words: bool = False, lower: bool = True) -> Block:
     """Texts of an Arrow string column; null counts as empty. With `only_words`, ASCII marks part words as blanks do."""
     texts = pc.fill_null(texts, "")
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -93,20 +98,20 @@ def block_of(texts: pa.Array, only_words: bool = False) -> Block:
         spot = np.ones(len(packed), bool)
         spot[end] = False
         spot[int(end[-1]) :] = False
-        packed[spot] = _LOWER[raw[kept]]
+        packed[spot] = _LOWER[raw[kept]] if lower else raw[kept]
     else:
         packed = np.full(8, 32, np.uint8)
     return Block(packed, start, end, first)
 
 
-def blocks(texts: pa.Array, only_words: bool = False, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[int, Block]]:
+def blocks(texts: pa.Array, only_words: bool = False, block_bytes: int = BLOCK_BYTES, lower: bool = True) -> Iterator[tuple[int, Block]]:
     """Blocks of about `block_bytes` over a column, each with the index of its first text."""
     sizes = np.array(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64)
     at = 0
     while at < len(sizes):
         held = np.cumsum(sizes[at:])
         stop = at + max(1, int(np.searchsorted(held, block_bytes)))
-        yield at, block_of(texts.slice(at, stop - at), only_words)
+        yield at, block_of(texts.slice(at, stop - at), only_words, lower)
         at = stop
 
 
