@@ -221,7 +221,8 @@ def build(vectors: DataFrame, copies: int, shard: int = SHARD, edges: int = EDGE
 
     schema = ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", node int, links array<int>"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
-    return placed.groupBy("dim", "shard").applyInArrow(linked, schema)
+    # as many partitions as shards: each is much work on few bytes, which would be put together by size
+    return placed.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInArrow(linked, schema)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -279,7 +280,7 @@ def search(index: DataFrame, vectors: DataFrame, k: int, beam: int = WIDE_BEAM)
     empty = {n: F.lit(None).cast(kinds[n]).alias(n) for n in ("node", "links", "ids")}
     columns = ["dim", "shard", "h1", "h2", "vec", "node", "links", "ids"]
     both = index.select(*columns).union(asked.select(*(empty.get(c, F.col(c)) for c in columns)))
-    both = both.repartition("dim", "shard").sortWithinPartitions("dim", "shard", F.col("node").isNull(), "h1", "h2")
+    both = both.repartition(max(1, sizes.count()), "dim", "shard").sortWithinPartitions("dim", "shard", F.col("node").isNull(), "h1", "h2")
     id_kind = kinds["ids"].removeprefix("array<").removesuffix(">")
     names = ["h1", "h2", "score", "id"]
     schema = f"h1 long, h2 long, score double, id {id_kind}"
