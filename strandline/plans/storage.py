@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from strandline.plans.registry import query
 from strandline.sources import features, files, kafka
 from strandline.sources.tables import BEHAVIOURS_SQL as EV
 from strandline.sources.tables import behaviours, table
-from strandline.streaming import ingest, windows
+from strandline.streaming import ingest, stateful, windows
 
 EVENT = "event_id long, user_id long, item_id int, action string, seconds long, value double"
 ROUND_TRIP = EV + "SELECT event_id, user_id, item_id, action, seconds, value FROM ev"
@@ -304,3 +306,44 @@ def st12_stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     once = ingest.once_each(stream, late="60 days").select("event_id")
     once.writeStream.format("parquet").option("path", f"{path}/once").option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/once").select("event_id")
+
+
+ORDERED = "event_id long, user_id long, action string, ts timestamp"
+
+
+def _in_parts(spark: SparkSession, d: str, parts: int = 4) -> Iterator[DataFrame]:
+    """Streams over one folder into which events land in time order, a part before each is asked for; last come rows that only move the watermark on."""
+    landed = files.scratch(spark)
+    ev = behaviours(spark, d).select("event_id", "user_id", "action", F.col("ts").cast("timestamp").alias("ts"), "seconds")
+    low, high = ev.agg(F.min("seconds"), F.max("seconds")).first()
+    for k in range(parts + 1):
+        if k < parts:
+            part = ev.filter((F.col("seconds") - low) * parts >= k * (high - low + 1)).filter((F.col("seconds") - low) * parts < (k + 1) * (high - low + 1)).drop("seconds")
+        else:  # a user of no events, and the click before the exposure
+            part = spark.createDataFrame([(-1, -1, "click", high + 30 * 86400), (-2, -1, "view", high + 30 * 86400 + 1)], "event_id long, user_id long, action string, s long")
+            part = part.select("event_id", "user_id", "action", F.timestamp_seconds("s").alias("ts"))
+        part.write.mode("append").parquet(landed)
+        yield spark.readStream.schema(ORDERED).parquet(landed)
+
+
+@query(EV + """SELECT e.user_id, e.event_id AS exposure_id, c.event_id AS click_id FROM (SELECT * FROM ev WHERE action = 'view') e
+LEFT JOIN (SELECT * FROM ev WHERE action = 'click') c ON c.user_id = e.user_id AND c.ts >= e.ts AND c.ts < e.ts + INTERVAL 30 MINUTE""")
+def st12_stream_join(spark: SparkSession, d: str) -> DataFrame:
+    """Exposures and clicks as two streams, started again from the checkpoint for each part that lands."""
+    path = files.scratch(spark)
+    for stream in _in_parts(spark, d):
+        joined = stateful.attributed(stream.filter("action = 'view'"), stream.filter("action = 'click'"), ["user_id"])
+        stateful.to_files(joined, path).awaitTermination()
+    return spark.read.parquet(f"{path}/rows").select("user_id", "exposure_id", "click_id")
+
+
+@query(EV + """, f AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 1800000000 THEN 1 ELSE 0 END AS fresh FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, 1 + sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM f)
+SELECT user_id, CAST(session AS BIGINT) AS session, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS n FROM s GROUP BY user_id, session""")
+def st12_timed_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Numbered sessions, each closed by its timer in a stream over several batches."""
+    path = files.scratch(spark)
+    with stateful.with_rocksdb(spark):
+        for stream in _in_parts(spark, d):
+            stateful.to_files(stateful.numbered_sessions(stream), path).awaitTermination()
+    return spark.read.parquet(f"{path}/rows")
