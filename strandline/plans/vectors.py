@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import vectors
-from strandline.operators import recommend, similarity, statistics
+from strandline.operators import codebooks, recommend, similarity, statistics, vector_index
 from strandline.plans.registry import query
+from strandline.sources import files
 from strandline.sources.tables import behaviours, table
 
 COS = "list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e))"
@@ -91,6 +92,36 @@ def vs09_inner_product(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("vec_id", F.round(vectors.dot(F.col("embedding"), q), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
 
 
+KIND_SQL = "CASE WHEN expected < 100000 THEN 'FLAT' WHEN expected < 10000000 THEN CASE WHEN latency < 10 THEN 'IVF_SQ8' ELSE 'IVF_FLAT' END WHEN expected < 100000000 THEN CASE WHEN recall > 0.98 THEN 'HNSW_HIGH_RECALL' ELSE 'HNSW' END ELSE 'DISKANN' END"
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM embeddings), w AS (SELECT * FROM (VALUES (1), (1000), (100000), (1000000)) t(growth), (VALUES (5.0, 0.95), (50.0, 0.95), (50.0, 0.99)) u(latency, recall)),
+x AS (SELECT growth, latency, recall, n * growth AS expected FROM n, w) SELECT CAST(expected AS BIGINT) AS expected, CAST(latency AS DOUBLE) AS latency, CAST(recall AS DOUBLE) AS recall, {KIND_SQL} AS kind FROM x""")
+def vs10_index_kind(spark: SparkSession, d: str) -> DataFrame:
+    """The kind of index for the table as it is and as it may grow."""
+    rows = table(spark, d, "embeddings").count()
+    asked = [(rows * g, *w) for g in (1, 1000, 100_000, 1_000_000) for w in ((5.0, 0.95), (50.0, 0.95), (50.0, 0.99))]
+    return spark.createDataFrame([(*a, vector_index.recommended(*a)) for a in asked], "expected long, latency double, recall double, kind string")
+
+
+@query()
+def vs10_ivf_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every row is in the index; rows whose id is divisible by 20 are searched, in as many cells as a sample of others needs."""
+    e, path = table(spark, d, "embeddings"), files.scratch(spark)
+    vector_index.build(e, path)
+    nprobe = vector_index.probes_for(spark, path, e.filter("vec_id % 20 = 7"))
+    return vector_index.search(spark, path, e.filter("vec_id % 20 = 0"), 10, nprobe, refine=8)
+
+
+@query(E_SQL + f"""SELECT a.vec_id AS query, b.vec_id, round({COS}, 6) AS similarity, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round({COS}, 6) DESC, b.vec_id) AS INTEGER) AS rank
+FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 QUALIFY rank <= 10""")
+def vs10_ivf_all_cells(spark: SparkSession, d: str) -> DataFrame:
+    """A search of all cells is exact."""
+    e, path = table(spark, d, "embeddings"), files.scratch(spark)
+    vector_index.build(e, path, rounds=2)
+    return vector_index.search(spark, path, e.filter("vec_id % 20 = 0"), 10)
+
+
 @query()
 def vs11_kmeans(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.clustering import KMeans
@@ -245,6 +276,13 @@ def ar15_rvq(spark: SparkSession, d: str) -> DataFrame:
     return similarity.residual_codes(table(spark, d, "embeddings"), _codebooks(spark, d)).select("vec_id", "l1", "l2", "l3")
 
 
+@query()
+def ar15_fitted_codebooks(spark: SparkSession, d: str) -> DataFrame:
+    """Error and use of three levels of eight codes fitted to all vectors."""
+    e = table(spark, d, "embeddings")
+    return codebooks.level_report(e, codebooks.fit_levels(e, 8, 3))
+
+
 @query(RVQ_SQL + "SELECT q3.vec_id, round(v.e[1] - q3.e[1], 6) AS first FROM q3 JOIN v USING (vec_id)")
 def ar16_rvq_decode(spark: SparkSession, d: str) -> DataFrame:
     books = _codebooks(spark, d)
