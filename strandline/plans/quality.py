@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import texts
-from strandline.operators import governance, ranking, recommend, validate
+from strandline.operators import governance, gram_index, ranking, recommend, validate, word_index
 from strandline.plans.registry import query
+from strandline.sources import files
 from strandline.sources.tables import BEHAVIOURS_SQL as EV
 from strandline.sources.tables import behaviours, table
 from strandline.streaming import alerts, windows
@@ -195,6 +196,82 @@ def fn38_trigrams(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", found).orderBy(F.desc("similarity"), "p_partkey").limit(20)
 
 
+WORDS_SQL = r"""WITH tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+qtok AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+post AS (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM tok), tf AS (SELECT doc_id, term, any_value(length) AS length, count(*) AS tf FROM post GROUP BY doc_id, term),
+dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term), tot AS (SELECT count(*) AS n, sum(len(w)) AS words FROM tok)
+"""
+SCORE = "sum(ln(1 + (tot.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length * tot.n / tot.words)))"
+
+
+def _word_index(spark: SparkSession, d: str) -> str:
+    path = files.scratch(spark)
+    word_index.build(table(spark, d, "documents"), path, "doc_id", "text", buckets=16)
+    return path
+
+
+def _items(spark: SparkSession, d: str, first: int | None = None) -> DataFrame:
+    """The texts of `benchmark` as queries, or only their first words."""
+    words = word_index.words(F.col("text"))
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.array_join(words if first is None else F.slice(words, 1, first), " ").alias("text"))
+
+
+@query(WORDS_SQL + f""", q AS (SELECT DISTINCT item_id, unnest(w) AS term FROM qtok),
+s AS (SELECT item_id AS query, doc_id AS id, round({SCORE}, 6) AS score FROM q JOIN tf USING (term) JOIN dfs USING (term), tot GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
+def fn37_bm25(spark: SparkSession, d: str) -> DataFrame:
+    """For each item of the benchmark the five documents that rank highest, out of all."""
+    return word_index.ranked(spark, _word_index(spark, d), _items(spark, d), 5)
+
+
+@query(WORDS_SQL + f""", q AS (SELECT DISTINCT item_id, unnest(w[1:2]) AS term FROM qtok), m AS (SELECT item_id, count(*) AS m FROM q GROUP BY item_id),
+s AS (SELECT item_id AS query, doc_id AS id, round({SCORE}, 6) AS score, count(*) AS hits, any_value(m) AS m FROM q JOIN m USING (item_id) JOIN tf USING (term) JOIN dfs USING (term), tot GROUP BY item_id, doc_id)
+SELECT query, id, score, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank FROM s WHERE hits = m QUALIFY rank <= 20""")
+def fn37_all_words(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that have all of the first two words of an item, ranked."""
+    return word_index.ranked(spark, _word_index(spark, d), _items(spark, d, 2), 20, every=True)
+
+
+@query(WORDS_SQL + """, q AS (SELECT item_id, array_to_string(w[1:3], ' ') AS phrase FROM qtok), t AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS whole FROM tok)
+SELECT item_id AS query, doc_id AS id, CAST(len(string_split(substr(whole, 1, strpos(whole, ' ' || phrase || ' ')), ' ')) - 2 AS INTEGER) AS first FROM q JOIN t ON contains(whole, ' ' || phrase || ' ')""")
+def fn37_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that have an item's first three words in a row."""
+    return word_index.phrases(spark, _word_index(spark, d), _items(spark, d, 3))
+
+
+def _grams_sql(a: str, text: str) -> str:
+    return f"list_distinct(list_transform(range(1, length({text}) + 2), lambda i: substr('  ' || lower({text}) || ' ', i, 3))) AS {a}"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, {_grams_sql('g', 'p_name')} FROM part), q AS (SELECT p_partkey AS query, {_grams_sql('q', "substr(p_name, 1, 2) || substr(p_name, 4)")} FROM part WHERE p_partkey % 20 = 0),
+s AS (SELECT query, id, len(list_intersect(g, q)) AS n, len(g) + len(q) AS m FROM p, q) SELECT query, id, n / (m - n) AS similarity FROM s WHERE n / (m - n) >= 0.5 - 1e-9""")
+def fn38_similar_names(spark: SparkSession, d: str) -> DataFrame:
+    """Parts whose name is like a misspelt one: each twentieth name without its third letter."""
+    path, part = files.scratch(spark), table(spark, d, "part")
+    gram_index.build(part, path, "p_partkey", "p_name", buckets=8)
+    asked = part.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query"), F.expr("concat(substr(p_name, 1, 2), substr(p_name, 4))").alias("text"))
+    return gram_index.similar(spark, path, asked, 0.5)
+
+
+@query(f"""WITH p AS (SELECT c_custkey AS id, {_grams_sql('g', 'c_name')} FROM customer), q AS (SELECT id AS query, g AS q FROM p WHERE id % 20 = 0),
+s AS (SELECT query, id, len(list_intersect(g, q)) AS n, len(g) + len(q) AS m FROM p, q) SELECT query, id, n / (m - n) AS similarity FROM s WHERE n / (m - n) >= 0.8 - 1e-9""")
+def fn38_similar_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Customers whose name is much like that of each twentieth; all names share most of their trigrams."""
+    path, customer = files.scratch(spark), table(spark, d, "customer")
+    gram_index.build(customer, path, "c_custkey", "c_name", buckets=8)
+    return gram_index.similar(spark, path, customer.filter("c_custkey % 20 = 0").select(F.col("c_custkey").alias("query"), F.col("c_name").alias("text")), 0.8)
+
+
+@query()
+def fn40_weighted_ratio(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best parts for each twentieth name with its words turned round and a letter left out."""
+    path, part = files.scratch(spark), table(spark, d, "part")
+    gram_index.build(part, path, "p_partkey", "p_name", buckets=8)
+    turned = F.array_join(F.reverse(F.split("p_name", " ")), " ")
+    asked = part.filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("query"), F.concat(F.left(turned, F.lit(2)), F.substr(turned, F.lit(4))).alias("text"))
+    return gram_index.fuzzy_matches(spark, path, asked, 10)
+
+
 @query("SELECT p_partkey, p_name, round(4.0 / length(p_name) * 100, 9)::DOUBLE AS score FROM part WHERE contains(lower(p_name), 'ring') ORDER BY score DESC, p_partkey LIMIT 10")
 def fn39_exact_search(spark: SparkSession, d: str) -> DataFrame:
     found = table(spark, d, "part").select("p_partkey", "p_name", F.round(texts.substring_score(F.col("p_name"), "Ring"), 9).alias("score"))
