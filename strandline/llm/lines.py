@@ -78,6 +78,18 @@ def merged(spans: DataFrame) -> DataFrame:
     return joined.groupBy("_id", "_hash").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("removed_lines"))
 
 
+def _without(lines: Column, spans: Column) -> Column:
+    """The lines whose numbers are in no span, in time that grows with lines and spans, not with their product."""
+    gone = F.flatten(F.transform(spans, lambda r: F.sequence(r["first"], r["last"])))
+    # an array of one, so that both are worked out once a text
+    whole = F.array(F.struct(lines.alias("lines"), gone.alias("gone")))
+
+    def left(s: Column) -> Column:
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), s["gone"]), lambda i: F.get(s["lines"], i))
+
+    return F.get(F.transform(whole, left), F.lit(0))
+
+
 def line_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """All rows and columns of `df` with `text` cleaned, and `removed_lines`: array of (first, last) line numbers of the original.
 
@@ -92,7 +104,7 @@ def line_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     found = windows(identified(df, doc_id, text).filter(F.col("text").contains("\n")), size)
     spans = merged(later_windows(found, size)).select(F.col("_id").alias(id_), F.col("_hash").alias(mark), F.col("removed_lines").alias(spans_))
     own = F.col(f"d.`{text}`")
-    kept = F.filter(F.split(own, "\n", -1), lambda x, i: ~F.exists(spans_, lambda r: (i >= r["first"]) & (i <= r["last"])))
+    kept = _without(F.split(own, "\n", -1), F.col(spans_))
     same = (F.xxhash64(own) == F.col(mark)) & F.col(f"d.`{doc_id}`").eqNullSafe(F.col(id_))
     joined = df.alias("d").join(spans, same, "left")
     cleaned = F.when(F.col(spans_).isNull(), own).otherwise(F.array_join(kept, "\n"))
