@@ -113,10 +113,11 @@ def learnable(doc_id: str = "doc_id") -> Column:
 
 
 def sample_labelled(documents: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """Learnable labelled documents, `most` labels at most: those with the least hash of the id.
+    """Learnable labelled documents, `most` labels and `most` rows at most: those with the least hash of the id, then of id and text.
 
     The chosen ids are `most` rows at most, so they are broadcast to the documents.
-    A doc_id labelled twice is taken with each label; ids without a document go.
+    A doc_id labelled twice is taken with each label; ids without a document go. Where many documents share an id, so that there are more
+    rows than labels, the hash of id and text decides which stay.
     """
     chosen = (
         labels.filter(learnable() & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
@@ -124,7 +125,8 @@ def sample_labelled(documents: DataFrame, labels: DataFrame, label: str, most: i
         .orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id", "label")
         .limit(most)
     )
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.orderBy(F.xxhash64(F.lit("row"), "doc_id", "text"), "doc_id", "text", "label").limit(most)
 
 
 def score(df: DataFrame, model: QualityModel, text: str = "text", name: str = "score") -> DataFrame:
