@@ -162,6 +162,11 @@ def requests(rows: DataFrame, parts: int, order: int, block_bytes: int) -> DataF
     return rows.mapInArrow(batches, "part int, block long, low binary, high binary, counts binary")
 
 
+def _mark(keys: np.ndarray) -> int:
+    """A sum of hashes, by which sets of n-grams are told apart."""
+    return int(mixed(keys).sum(dtype=np.uint64).view(np.int64))
+
+
 def totals(requested: DataFrame, parts: int) -> DataFrame:
     """What each block asked of each partition of the count table, with the counts over all blocks."""
 
@@ -172,10 +177,10 @@ def totals(requested: DataFrame, parts: int) -> DataFrame:
         unique, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, weights=counts, minlength=len(unique)).astype(np.uint64)[place]
         replies = [squeezed(x) for x in np.split(total, cuts)]
-        sizes = pa.array([len(k) for k in keys], pa.int32())
-        return table.select(["part", "block"]).append_column("n", sizes).append_column("totals", pa.array(replies, pa.binary()))
+        sizes, marks = pa.array([len(k) for k in keys], pa.int32()), pa.array([_mark(k) for k in keys], pa.int64())
+        return table.select(["part", "block"]).append_column("n", sizes).append_column("mark", marks).append_column("totals", pa.array(replies, pa.binary()))
 
-    return requested.repartition(parts, "part").groupBy("part").applyInArrow(add_up, "part int, block long, n int, totals binary")
+    return requested.repartition(parts, "part").groupBy("part").applyInArrow(add_up, "part int, block long, n int, mark long, totals binary")
 
 
 def scores(
@@ -213,7 +218,8 @@ def scores(
         first = np.frombuffer(row["first"], np.int64)
         words = np.frombuffer(row["words"], np.uint64)[unsqueezed(row["codes"], np.uint32, int(first[-1]))]
         unique = np.unique(Words(first, words, order).grams)
-        if len(unique) != len(total):
+        marks = np.array(replies["mark"].to_pylist(), np.int64).view(np.uint64).sum(dtype=np.uint64).view(np.int64)
+        if len(unique) != len(total) or _mark(unique) != int(marks):
             raise ValueError("the rows came in another order the second time; write them to a table first")
         parts, at = [], 0
         while at < len(first) - 1:  # some documents at once
