@@ -28,7 +28,7 @@ RARE = 4.0
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, 1
 #: Words of the items that are sent to every task at once, unless one item has more; a larger benchmark is taken in parts.
-MOST_BROADCAST = 2_000_000
+MOST_BROADCAST = 300_000
 #: A word of an item, as texts are cut: letters and digits of ASCII, and all other characters beyond it.
 _ITEM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
