@@ -1,5 +1,7 @@
 """Queries of the subpackage over the driver's small tables, and the pipeline stage by stage."""
 
+import collections
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,8 +16,12 @@ COLUMNS = corpus_pipeline.COLUMNS
 def test_query_gives_its_rows(spark, sf, name):
     documents = spark.read.parquet(f"{sf}/documents.parquet").count()
     found = queries.QUERIES[name](spark, sf).count()
+    sizes = {"op12_pruned_graph": 10 * spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 100 = 0").count()}
+    sizes["op13_filter_audit"] = 600 * spark.read.parquet(f"{sf}/documents.parquet").select("source").distinct().count()
     if name.split("_")[0] in ("op2", "op4", "op6"):
         assert found > 0
+    elif name in sizes:
+        assert found == sizes[name]
     else:
         assert found == documents
 
@@ -97,11 +103,24 @@ def test_run_gives_the_last_stage(spark, sf, stages):
 
 def test_stages_on_awkward_rows(spark, sf):
     rows = [(1, None, None, None, None), (None, "a text", "en", "s", 6), (2, "", "en", None, 0), (2, "", "en", None, 0), (3, "x y z w " * 9, None, "s", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for docs in (docs, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, sf)
-        docs.count()
+    rows += [(4, " ".join(f"long{i % 9973} word{i % 101}" for i in range(60_000)), "en", "s", 1)]
+    whole = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    whole = whole.withColumn("score", F.lit("x")).withColumn("fp", F.lit(1)).withColumn("IDS", F.lit(2))  # names that stages use themselves
+    for docs in (whole, whole.limit(0)):
+        left = []
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, sf).cache()
+            assert docs.columns[:5] == corpus_pipeline.COLUMNS and (len(docs.columns) == 5) == (k < 4)
+            left.append(sorted((tuple(r)[:2] for r in docs.collect()), key=str))
+        for before, after in zip(left, left[1:]):
+            assert not collections.Counter(after) - collections.Counter(before)
+        assert left[1] == left[0] and left[3] == left[2] == left[4]  # nothing to cut, no benchmark item
+        if left[0]:
+            # null, empty and equal rows are one group; the others differ
+            texts = [t for _, t in left[0]]
+            blank = [t for t in texts if not t]
+            assert len(left[2]) == len({t for t in texts if t}) + bool(blank)
+            assert all(r.decoded == r.text for r in docs.collect() if r.text is not None)
 
 
 def test_decontamination_against_aligning_everything(spark, sf):
