@@ -43,16 +43,22 @@ def popular_for_users(users: DataFrame, interactions: DataFrame, ranked: DataFra
 def cooccurrence(df: DataFrame, least: int = 3, most_items: int | None = None, actions: tuple[str, ...] = ("click", "like", "buy", "purchase")) -> DataFrame:
     """(item_a, item_b, users, score): item pairs that `least` users share; the score is b's weighted events by a's users over the greatest.
 
-    All items of all users count, unless `most_items` is given: then a user's newest ones. A user costs the
-    square of their items; the join is one that can be split where a user has very many.
+    All items of all users count, unless `most_items` is given: then a user's newest ones. Items of fewer than `least` users are
+    left out first. A user costs half the square of their other items; the join is one that can be split where a user has very many.
     """
     used = df.filter(F.col("action").isin(*actions) & F.col("item_id").isNotNull())
     per = used.withColumn("w", weight(F.col("action"), COOCCURRENCE_WEIGHTS, 0.5)).groupBy("user_id", "item_id").agg(F.sum("w").alias("w"), F.max("ts").alias("ts"))
     kept = per if most_items is None else top_per(per, "user_id", [F.desc("ts"), F.col("item_id")], most_items)
     kept = kept.select("user_id", "item_id", "w")
-    a = kept.select("user_id", F.col("item_id").alias("item_a"))
-    b = kept.select("user_id", F.col("item_id").alias("item_b"), "w")
-    pairs = a.join(b, "user_id").filter("item_a != item_b").groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("users"), F.sum("w").alias("weighted"))
+    # an item of fewer users is in no result
+    enough = kept.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select("item_id")
+    kept = kept.join(enough, "item_id")
+    a = kept.select("user_id", F.col("item_id").alias("item_a"), F.col("w").alias("wa"))
+    b = kept.select("user_id", F.col("item_id").alias("item_b"), F.col("w").alias("wb"))
+    # each pair once, counted, and only then both ways
+    once = a.join(b, "user_id").filter("item_a < item_b").groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("users"), F.sum("wb").alias("wb"), F.sum("wa").alias("wa"))
+    ways = (F.struct(F.col(x).alias("item_a"), F.col(y).alias("item_b"), "users", F.col(w).alias("weighted")) for x, y, w in (("item_a", "item_b", "wb"), ("item_b", "item_a", "wa")))
+    pairs = once.select(F.inline(F.array(*ways)))
     shared = pairs.filter(F.col("users") >= least)
     greatest = shared.groupBy("item_a").agg(F.max("weighted").alias("m"))
     return shared.join(greatest, "item_a").select("item_a", "item_b", "users", (F.col("weighted") / F.col("m")).alias("score"))

@@ -135,9 +135,11 @@ def negatives(positives: DataFrame, pool: DataFrame, count: int = 4, weight: str
     found = fresh.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("_n"))
     lost = touched.groupBy("user_id").agg(F.count(F.lit(1)).alias("_lost"))
     short = wanted.join(found, ["user_id", "item_id"], "left").filter(F.coalesce("_n", F.lit(0)) < count).join(lost, "user_id")
-    places = short.select("user_id", "item_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lost") + 2 * count)).alias("place"))
-    rest = places.join(ranks(own.select("negative"), "negative"), "place").join(touched, ["user_id", "negative"], "left_anti")
-    rest = rest.select("user_id", "item_id", "negative", (F.col("place") + count * tries).alias("try"))
+    # the first `count` items of the fixed order that a user hasn't touched fill any of their lists
+    places = short.select("user_id", "_lost").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lost") + count)).alias("place"))
+    left = places.join(ranks(own.select("negative"), "negative"), "place").join(touched, ["user_id", "negative"], "left_anti")
+    first = left.withColumn("_nth", F.row_number().over(Window.partitionBy("user_id").orderBy("place"))).filter(F.col("_nth") <= count)
+    rest = short.select("user_id", "item_id").join(first, "user_id").select("user_id", "item_id", "negative", (F.col("place") + count * tries).alias("try"))
     both = fresh.unionByName(rest).groupBy("user_id", "item_id", "negative").agg(F.min("try").alias("try"))
     w = Window.partitionBy("user_id", "item_id").orderBy("try", "negative")
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= count).select("user_id", "item_id", "negative", "rank")
@@ -163,7 +165,8 @@ def contrastive_triples(df: DataFrame, pool: DataFrame, most: int = 100, count:
     drawn = negatives(df.filter("item_id is not null"), pool, count, seed=seed)
     lists = drawn.groupBy("user_id", F.col("item_id").alias("positive")).agg(F.sort_array(F.collect_list(F.struct("rank", "negative"))).alias("_l"))
     joined = contrastive(df, most).join(lists, ["user_id", "positive"], "left")
-    return joined.select("user_id", "event_id", "anchor", "positive", F.coalesce(F.col("_l.negative"), F.array().cast(lists.schema["_l"].dataType.elementType["negative"].dataType.simpleString().join(("array<", ">")))).alias("negatives"))
+    kind = pool.schema["item_id"].dataType.simpleString()
+    return joined.select("user_id", "event_id", "anchor", "positive", F.coalesce(F.col("_l.negative"), F.array().cast(f"array<{kind}>")).alias("negatives"))
 
 
 def dropout(events: Column, key: Column, rate: float = 0.1, seed: int = 42) -> Column:

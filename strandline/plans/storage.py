@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import times
 from strandline.operators import validate
 from strandline.plans.behaviour import TYPES, event_tokens
 from strandline.plans.registry import query
-from strandline.sources import features, files, kafka
+from strandline.sources import features, files, kafka, views
 from strandline.sources.tables import BEHAVIOURS_SQL as EV
 from strandline.sources.tables import behaviours, table
-from strandline.streaming import ingest, stateful, windows
+from strandline.streaming import ingest, sketches, stateful, windows
 
 EVENT = "event_id long, user_id long, item_id int, action string, seconds long, value double"
 ROUND_TRIP = EV + "SELECT event_id, user_id, item_id, action, seconds, value FROM ev"
@@ -168,6 +168,19 @@ def sc22_materialised_view(spark: SparkSession, d: str) -> DataFrame:
     return files.stage(spark, files.scratch(spark), lambda: behaviours(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n")))
 
 
+@query(EV + """SELECT CAST(seconds // 86400 AS INTEGER) AS day, action, count(*) AS n, round(sum(value), 6) AS value FROM ev
+WHERE NOT (event_id % 5 < 4 AND event_id % 3 = 0) GROUP BY ALL""")
+def sc22_incremental_view(spark: SparkSession, d: str) -> DataFrame:
+    """Daily sums kept up over five batches: each inserts a fifth of the events and deletes a third of those of the batch before."""
+    ev = behaviours(spark, d).withColumn("day", F.floor(F.col("seconds") / 86400).cast("int"))
+    view = views.SumView(spark, files.scratch(spark), ["day", "action"], {"value": "value"})
+    for k in range(5):
+        fresh = ev.filter(F.col("event_id") % 5 == k).withColumn(views.OP, F.lit(1))
+        gone = ev.filter((F.col("event_id") % 5 == k - 1) & (F.col("event_id") % 3 == 0)).withColumn(views.OP, F.lit(-1))
+        view.apply(fresh.unionByName(gone), k + 1)
+    return view.read().withColumn("value", F.round("value", 6))
+
+
 @query("SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'new' ELSE p_name END AS p_name FROM part UNION ALL SELECT -1, 'new'")
 def sc23_json_upsert(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select("p_partkey", "p_name", F.lit(0).alias("version"))
@@ -347,3 +360,20 @@ def st12_timed_sessions(spark: SparkSession, d: str) -> DataFrame:
         for stream in _in_parts(spark, d):
             stateful.to_files(stateful.numbered_sessions(stream), path).awaitTermination()
     return spark.read.parquet(f"{path}/rows")
+
+
+@query(EV + """SELECT seconds // 86400 * 86400 AS start, count(*) AS n, true AS distinct_near, true AS median_near, true AS tail_near FROM ev GROUP BY ALL""")
+def st07_merged_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Days read from the sketches of hours: whether the users are within 3 % and the ranks of quantiles within 1 % (and one row) of the exact ones."""
+    ev, path = behaviours(spark, d), files.scratch(spark)
+    sketches.sketched(ev, "value", "user_id").write.parquet(path)
+    days = sketches.report(sketches.merged(spark.read.parquet(path), 86400))
+    dated = ev.withColumn("start", F.col("seconds") - F.pmod("seconds", F.lit(86400)))
+    ranks = (F.avg((F.col("value") <= F.col(p)).cast("double")).alias(f"r{p}") for p in ("p50", "p95"))
+    exact = dated.join(days.select("start", "p50", "p95"), "start").groupBy("start").agg(F.count_distinct("user_id").alias("users"), *ranks)
+
+    def near(rank: str, q: float) -> Column:
+        return F.abs(F.col(rank) - q) <= 0.01 + 1 / F.col("n")
+
+    found = days.select("start", "n", "distinct").join(exact, "start")
+    return found.select("start", "n", (F.abs(F.col("distinct") - F.col("users")) <= 0.03 * F.col("users")).alias("distinct_near"), near("rp50", 0.5).alias("median_near"), near("rp95", 0.95).alias("tail_near"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import vectors
-from strandline.operators import codebooks, recommend, similarity, statistics, vector_index
+from strandline.operators import catalogue, codebooks, recommend, sequences, similarity, skipgram, statistics, vector_index
 from strandline.plans.registry import query
 from strandline.sources import files
 from strandline.sources.tables import behaviours, table
@@ -149,13 +149,20 @@ def vs14_word2vec(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
-    from strandline.operators import sequences
-
     walks = sequences.user_sequences(behaviours(spark, d), 1 << 30).select(F.transform("events.item_id", lambda i: i.cast("string")).alias("tokens"))
     model = Word2Vec(vectorSize=16, windowSize=5, minCount=1, maxIter=1, seed=42, inputCol="tokens", outputCol="v").fit(walks)
     return model.getVectors().select(F.col("word").alias("token"), F.size(vector_to_array("vector")).alias("dims"))
 
 
+@query()
+def vs14_skipgram_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of items from pairs within two events of a user, trained with drawn negatives in four blocks of either matrix."""
+    walks = sequences.user_sequences(behaviours(spark, d), 1 << 30).select("user_id", F.col("events.item_id").alias("ids"))
+    pairs = skipgram.counted_pairs(catalogue.skip_grams(walks, "user_id", "ids", 2, dynamic=False), "target", "context")
+    found, _ = skipgram.train(pairs, dims=16, rounds=2, blocks=4)
+    return found.select(F.col("word").alias("token"), F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
 @query("""WITH e AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS item, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events),
 d AS (SELECT user_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM e JOIN embeddings ON vec_id = item WHERE n <= 10),
 m AS (SELECT user_id, i, avg(x) AS x FROM d GROUP BY user_id, i) SELECT user_id, round(x / sqrt(sum(x * x) OVER (PARTITION BY user_id)), 9) AS first FROM m QUALIFY i = 1""")

@@ -21,13 +21,22 @@ READERS: dict[str, dict[str, str]] = {
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared folder of spark.checkpoint.dir; a local one only where none is named."""
+    """A new folder in the shared folder of spark.checkpoint.dir; a local one only in local mode, where none is named."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="shared-"))
     return f"{sc.getCheckpointDir()}/files-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library has written."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _format(kind: str) -> str:
     if kind not in READERS:
         raise ValueError(f"unknown format {kind}; there are {', '.join(READERS)}")
