@@ -77,12 +77,23 @@ def split_of(bucket: Column, train: float = 0.8, validate: float = 0.1, of: int
 
 def by_hash(*keys: str, of: int = 10) -> Column:
     """A bucket that depends on the keys alone, however rows are partitioned."""
-    return F.pmod(F.xxhash64(*keys), F.lit(of))
+    return F.pmod(_digits(*keys), F.lit(of))
+
+
+def _digits(*keys: Column | str) -> Column:
+    """28 bits of the MD5 of the keys' texts, which any engine can repeat."""
+    texts = ((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys)
+    return F.conv(F.left(F.md5(F.concat_ws("|", *texts)), F.lit(7)), 16, 10).cast("long")
 
 
 def draw(*keys: Column | str, seed: int = 42) -> Column:
     """A number from 0 to 1 that depends on the keys alone."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    return (_digits(F.lit(seed), *keys) + 0.5) / (1 << 28)
+
+
+def draw_sql(*keys: str, seed: int = 42) -> str:
+    """The same number in SQL; `keys` are expressions."""
+    return f"((CAST('0x' || left(md5(concat_ws('|', {seed}, {', '.join(keys)})), 7) AS BIGINT) + CAST(0.5 AS DOUBLE)) / 268435456)"
 
 
 def with_shares(pool: DataFrame, key: str, weight: str) -> DataFrame:

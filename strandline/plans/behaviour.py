@@ -263,22 +263,29 @@ def ar03_transform_structs(spark: SparkSession, d: str) -> DataFrame:
     return sequences.user_sequences(behaviours(spark, d), 1 << 30).select("user_id", F.array_join(trail, " ").alias("trail"))
 
 
+AUGMENTED_SQL = EV + """, r AS (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS seq_length FROM ev),
+d AS (SELECT *, """ + sequences.draw_sql("user_id", "i") + """ AS draw, """ + sequences.draw_sql("user_id", "0") + " AS d0, " + sequences.draw_sql("user_id", "1") + " AS d1 FROM r) "
+
+
 def _augmented(spark: SparkSession, d: str, how) -> DataFrame:
     found = sequences.user_sequences(behaviours(spark, d), 1 << 30)
     return found.select("user_id", "seq_length", joined(how("events.item_id", F.col("user_id"))).alias("items"))
 
 
-@query()
+@query(AUGMENTED_SQL + """SELECT user_id, seq_length, coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY i) FILTER (draw >= 0.1), CAST(any_value(item_id) FILTER (i = 0) AS VARCHAR)) AS items
+FROM d GROUP BY user_id, seq_length""")
 def ar06_augment_dropout(spark: SparkSession, d: str) -> DataFrame:
     return _augmented(spark, d, sequences.dropout)
 
 
-@query()
+@query(AUGMENTED_SQL + """, c AS (SELECT *, CAST(greatest(least(seq_length, 2), ceil(seq_length * (CAST(0.5 AS DOUBLE) + (1 - CAST(0.5 AS DOUBLE)) * d0))) AS INTEGER) AS size FROM d),
+p AS (SELECT *, CAST(floor(d1 * (seq_length - size + 1)) AS INTEGER) AS start FROM c)
+SELECT user_id, seq_length, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY i) AS items FROM p WHERE i >= start AND i < start + size GROUP BY user_id, seq_length""")
 def ar06_augment_crop(spark: SparkSession, d: str) -> DataFrame:
     return _augmented(spark, d, lambda e, k: sequences.crop(F.col(e), k))
 
 
-@query()
+@query(AUGMENTED_SQL + "SELECT user_id, seq_length, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY i // 3, draw, item_id) AS items FROM d GROUP BY user_id, seq_length")
 def ar06_augment_shuffle(spark: SparkSession, d: str) -> DataFrame:
     return _augmented(spark, d, sequences.shuffled)
 
@@ -292,7 +299,8 @@ def sl14_split_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(sequences.split_of(bucket).alias("split")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(EV + """, b AS (SELECT event_id, user_id, CAST('0x' || left(md5(CAST(user_id AS VARCHAR)), 7) AS BIGINT) % 10 AS b FROM ev)
+SELECT event_id, user_id, CASE WHEN b < 8 THEN 'train' WHEN b < 9 THEN 'val' ELSE 'test' END AS split FROM b""")
 def sl13_hash_split(spark: SparkSession, d: str) -> DataFrame:
     split = sequences.split_of(sequences.by_hash("user_id"))
     return behaviours(spark, d).select("event_id", "user_id", split.alias("split"))
@@ -430,7 +438,12 @@ def ar09_special_mask(spark: SparkSession, d: str) -> DataFrame:
     return _tokenised(spark, d, 64).select("user_id", tokenizer.total(tokenizer.special_mask(F.col("input_ids"))).cast("long").alias("specials"))
 
 
-@query()
+@query(TOKENISED_SQL + f""", framed AS (SELECT user_id, list(id ORDER BY back DESC) AS ids FROM numbered WHERE back <= 62 GROUP BY user_id),
+whole AS (SELECT user_id, list_concat([1], ids, [2], list_transform(range(0, 62 - len(ids)), lambda x: 0)) AS ids FROM framed),
+flat AS (SELECT user_id, unnest(ids) AS x, generate_subscripts(ids, 1) - 1 AS i FROM whole),
+m AS (SELECT user_id, x, i, x >= 5 AND {sequences.draw_sql('user_id', 'i')} < 0.15 AS chosen, {sequences.draw_sql('user_id', 'i', seed=43)} AS how, 5 + floor({sequences.draw_sql('user_id', 'i', seed=44)} * (120 - 5)) AS other FROM flat)
+SELECT user_id, string_agg(CAST(CAST(CASE WHEN NOT chosen THEN x WHEN how < 0.8 THEN 3 WHEN how < 0.9 THEN other ELSE x END AS BIGINT) AS VARCHAR), ',' ORDER BY i) AS input_ids,
+       string_agg(CAST(CASE WHEN chosen THEN x ELSE -100 END AS VARCHAR), ',' ORDER BY i) AS labels FROM m GROUP BY user_id""")
 def ar10_mlm_mask(spark: SparkSession, d: str) -> DataFrame:
     found = _tokenised(spark, d, 64).withColumn("m", tokenizer.mlm(F.col("input_ids"), F.col("user_id"), vocab_size=120))
     return found.select("user_id", joined("m.input_ids").alias("input_ids"), joined("m.labels").alias("labels"))

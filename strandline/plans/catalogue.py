@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import arrays, times, tokens
 from strandline.operators import catalogue, statistics
+from strandline.operators.sequences import draw_sql
 from strandline.plans.registry import query
 from strandline.sources.tables import table
 
@@ -309,7 +310,9 @@ def ar11_skip_grams_fixed(spark: SparkSession, d: str) -> DataFrame:
     return catalogue.skip_grams(_id_sequences(spark, d), "l_orderkey", "ids", 2, dynamic=False)
 
 
-@query()
+@query(f"""WITH s AS (SELECT l_orderkey, l_suppkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) - 1 AS i FROM lineitem WHERE l_suppkey > 1),
+w AS (SELECT *, floor({draw_sql('l_orderkey', 'i')} * 3) + 1 AS w FROM s)
+SELECT a.l_orderkey, a.id AS target, b.id AS context FROM w a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.i <> b.i AND abs(a.i - b.i) <= a.w""")
 def ar11_skip_grams_dynamic(spark: SparkSession, d: str) -> DataFrame:
     return catalogue.skip_grams(_id_sequences(spark, d), "l_orderkey", "ids", 3)
 

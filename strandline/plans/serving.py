@@ -255,6 +255,72 @@ def ag39_growth_pivot(spark: SparkSession, d: str) -> DataFrame:
     return days.pivot("action", ["signup", "purchase", "view"]).agg(F.count(F.lit(1))).fillna(0)
 
 
+@query("""SELECT (SELECT count(*) FROM customer) AS users, (SELECT count(*) FROM part) AS items, (SELECT count(*) FROM events) AS events,
+(SELECT count(DISTINCT user_id) FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events)) AS active_users""")
+def ag39_stats(spark: SparkSession, d: str) -> DataFrame:
+    ev = table(spark, d, "events").select(F.to_date("ts").alias("day"), "user_id")
+    daily = ev.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"))
+    last = daily.agg(F.sum("n").alias("events"), F.max_by("users", "day").alias("active_users"))
+    rows = (table(spark, d, t).agg(F.count(F.lit(1)).alias(c)) for t, c in (("customer", "users"), ("part", "items")))
+    return next(rows).join(next(rows)).join(last)  # single rows
+
+
+@query(EV + """, f AS (SELECT user_id, min(CAST(ts AS DATE)) AS day FROM ev GROUP BY user_id), a AS (SELECT CAST(ts AS DATE) AS day, count(DISTINCT user_id) AS active FROM ev GROUP BY 1), n AS (SELECT day, count(*) AS fresh FROM f GROUP BY day)
+SELECT strftime(day, '%Y-%m-%d') AS day, active, coalesce(fresh, 0) AS fresh, CAST(sum(coalesce(fresh, 0)) OVER (ORDER BY day) AS BIGINT) AS total FROM a LEFT JOIN n USING (day)""")
+def ag39_user_trend(spark: SparkSession, d: str) -> DataFrame:
+    """Active and first-seen users of each day, and all users so far."""
+    days = behaviours(spark, d).select("user_id", F.to_date("ts").alias("day")).distinct()
+    first = days.groupBy("user_id").agg(F.min("day").alias("day")).groupBy("day").agg(F.count(F.lit(1)).alias("fresh"))
+    daily = days.groupBy("day").agg(F.count(F.lit(1)).alias("active")).join(first, "day", "left").fillna(0, ["fresh"])
+    so_far = F.sum("fresh").over(Window.orderBy("day"))  # a row a day
+    return daily.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "active", "fresh", so_far.alias("total"))
+
+
+@query(EV + """SELECT strftime(ts, '%Y-%m-%d') AS day, round(avg(value), 9) AS mean, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.99), 9) AS p99, max(value) AS worst FROM ev GROUP BY 1""")
+def ag39_latency_trend(spark: SparkSession, d: str) -> DataFrame:
+    grouped = behaviours(spark, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    points = (F.round(F.percentile("value", q), 9).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))
+    return grouped.agg(F.round(F.avg("value"), 9).alias("mean"), *points, F.max("value").alias("worst"))
+
+
+@query("""SELECT p_type AS category, count(DISTINCT l_orderkey) AS orders, sum(l_quantity) AS quantity, round(sum(l_extendedprice), 2) AS revenue, round(sum(l_extendedprice) / sum(sum(l_extendedprice)) OVER (), 9) AS share
+FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_type ORDER BY revenue DESC, category LIMIT 10""")
+def ag39_top_categories(spark: SparkSession, d: str) -> DataFrame:
+    sold = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    per = sold.groupBy(F.col("p_type").alias("category")).agg(F.count_distinct("l_orderkey").alias("orders"), F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("r"))
+    total = per.agg(F.sum("r").alias("t"))
+    found = per.join(F.broadcast(total)).select("category", "orders", "quantity", F.round("r", 2).alias("revenue"), F.round(F.col("r") / F.col("t"), 9).alias("share"))  # one row
+    return found.orderBy(F.desc("revenue"), "category").limit(10)
+
+
+@query(EV + """SELECT item_id, count(*) AS events, count(DISTINCT user_id) AS users, count(*) FILTER (action = 'purchase') AS purchases FROM ev GROUP BY item_id ORDER BY events DESC, item_id LIMIT 10""")
+def ag39_top_items(spark: SparkSession, d: str) -> DataFrame:
+    per = behaviours(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"), statistics.n_of("purchase").alias("purchases"))
+    return per.orderBy(F.desc("events"), "item_id").limit(10)
+
+
+@query("SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY o_orderstatus), 9) AS share FROM orders GROUP BY 1, 2")
+def ag39_status_distribution(spark: SparkSession, d: str) -> DataFrame:
+    per = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("n"))
+    return per.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("status")), 9))  # a row for each pair
+
+
+@query("""SELECT r_name AS region, n_name AS nation, count(*) AS users, count(*) FILTER (c_acctbal < 0) AS overdrawn, GROUPING(n_name) AS whole FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+GROUP BY GROUPING SETS ((r_name, n_name), (r_name))""")
+def ag39_region_distribution(spark: SparkSession, d: str) -> DataFrame:
+    """Users of each nation, and of each region as a whole."""
+    places = table(spark, d, "nation").join(table(spark, d, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    users = table(spark, d, "customer").join(places, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"), "c_acctbal")
+    sets = users.groupingSets([["region", "nation"], ["region"]], "region", "nation")
+    return sets.agg(F.count(F.lit(1)).alias("users"), F.count_if(F.col("c_acctbal") < 0).alias("overdrawn"), F.grouping("nation").cast("long").alias("whole"))
+
+
+@query("SELECT p_brand AS brand, CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 30 THEN 'medium' ELSE 'large' END AS band, count(*) AS n, round(avg(p_retailprice), 6) AS price FROM part GROUP BY 1, 2")
+def ag39_type_distribution(spark: SparkSession, d: str) -> DataFrame:
+    band = F.when(F.col("p_size") <= 10, "small").when(F.col("p_size") <= 30, "medium").otherwise("large")
+    return table(spark, d, "part").groupBy(F.col("p_brand").alias("brand"), band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_retailprice"), 6).alias("price"))
+
+
 @query(EV + "SELECT action, CAST(ts AS DATE) AS day, count(*) AS n FROM ev GROUP BY ROLLUP (action, CAST(ts AS DATE))")
 def ag08_rollup(spark: SparkSession, d: str) -> DataFrame:
     return behaviours(spark, d).withColumn("day", F.to_date("ts")).rollup("action", "day").agg(F.count(F.lit(1)).alias("n"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import vectors
-from strandline.operators import catalogue, codebooks, recommend, sequences, similarity, skipgram, statistics, vector_index
+from strandline.operators import beam, catalogue, codebooks, recommend, sequences, similarity, skipgram, statistics, vector_index
 from strandline.plans.registry import query
 from strandline.sources import files
+from strandline.sources.tables import BEHAVIOURS_SQL as EV
 from strandline.sources.tables import behaviours, table
 
 COS = "list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e))"
@@ -343,3 +344,25 @@ def sl19_beam(spark: SparkSession, d: str) -> DataFrame:
     first = e.groupBy("label").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).withColumn("s", F.round(F.ln(F.col("n") / F.col("t")), 9)).orderBy(F.desc("s"), "label").limit(4)
     second = e.groupBy("label", "child").agg(F.count(F.lit(1)).alias("m")).join(F.broadcast(first), "label")
     return second.select("label", "child", F.round(F.col("s") + F.ln(F.col("m") / F.col("n")), 6).alias("score")).orderBy(F.desc("score"), "label", "child").limit(6)
+
+
+CODES = "item_id % 4 AS c1, (item_id // 4) % 5 AS c2, item_id // 20 AS c3"
+
+
+@query(EV + f""", e AS (SELECT user_id, {CODES} FROM ev), n1 AS (SELECT user_id, c1, count(*) AS n FROM e GROUP BY ALL), n2 AS (SELECT c1, c2, count(*) AS n FROM e GROUP BY ALL), n3 AS (SELECT c1, c2, c3, count(*) AS n FROM e GROUP BY ALL),
+p1 AS (SELECT user_id, c1, round(ln(n / sum(n) OVER (PARTITION BY user_id)), 9) AS s FROM n1), p2 AS (SELECT c1, c2, ln(n / sum(n) OVER (PARTITION BY c1)) AS p FROM n2), p3 AS (SELECT c1, c2, c3, ln(n / sum(n) OVER (PARTITION BY c1, c2)) AS p FROM n3),
+b1 AS (SELECT * FROM p1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY s DESC, c1) <= 3), s2 AS (SELECT user_id, c1, c2, round(s + p, 9) AS s FROM b1 JOIN p2 USING (c1)),
+b2 AS (SELECT * FROM s2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY s DESC, c1, c2) <= 3), s3 AS (SELECT user_id, c1, c2, c3, round(s + p, 9) AS s FROM b2 JOIN p3 USING (c1, c2)),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, c1, c2, c3) AS rank FROM s3)
+SELECT user_id, concat_ws(',', c1, c2, c3) AS codes, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def sl19_user_beam(spark: SparkSession, d: str) -> DataFrame:
+    """Three levels for each user: their own first codes, then what follows a prefix over all events."""
+    k = F.col("item_id")
+    ev = behaviours(spark, d).select("user_id", (k % 4).alias("c1"), (F.floor(k / 4) % 5).cast("int").alias("c2"), F.floor(k / 20).cast("int").alias("c3"))
+    first = beam.log_shares(ev.groupBy("user_id", F.col("c1").alias("code")).agg(F.count(F.lit(1)).alias("n")), ["user_id"], "code")
+    levels = []
+    for before, own in ((["c1"], "c2"), (["c1", "c2"], "c3")):
+        counted = ev.groupBy(*before, F.col(own).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+        levels.append(beam.log_shares(counted, before, "code").select(F.array(*before).alias("prefix"), "code", "logp"))
+    found = beam.search(first, levels, 3, 5)
+    return found.select("user_id", F.concat_ws(",", F.col("codes").cast("array<string>")).alias("codes"), F.round("score", 6).alias("score"), "rank")
