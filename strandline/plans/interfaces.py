@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline.operators import pipelines, recommend, sequences, statistics, validate
 from strandline.plans.behaviour import TYPES
 from strandline.plans.registry import query
-from strandline.sources import files, kafka
+from strandline.sources import files, kafka, table_functions
 from strandline.sources.tables import BEHAVIOURS_SQL as EV
 from strandline.sources.tables import behaviours, purchases, table
 
@@ -87,3 +87,72 @@ def ud06_table_function(spark: SparkSession, d: str) -> DataFrame:
         return recommend.not_interacted(totals, bought, None).orderBy(F.desc("q"), "item_id").limit(limit).select("item_id", "q")
 
     return candidates(7, 15)
+
+
+ITEMS_SQL = EV + """, pop AS (SELECT item_id, count(*) AS n, avg(value) AS v FROM ev GROUP BY item_id),
+items AS (SELECT p_partkey AS item_id, p_name AS title, p_type AS type, p_brand AS category, CAST(n AS DOUBLE) AS popularity, v AS rating, p_size <> 13 AS active,
+  [CAST(p_partkey % 3 AS INTEGER), CAST(p_partkey % 5 AS INTEGER), CAST(p_size AS INTEGER)] AS sid, CAST(embedding AS DOUBLE[]) AS e
+  FROM part LEFT JOIN pop ON pop.item_id = p_partkey LEFT JOIN embeddings ON vec_id = p_partkey),
+top AS (SELECT max(ts) AS t FROM ev), month AS (SELECT DISTINCT user_id, item_id FROM ev, top WHERE action IN ('click', 'purchase') AND ts > t - INTERVAL 30 DAY),
+week AS (SELECT DISTINCT user_id, item_id FROM ev, top WHERE action IN ('click', 'purchase') AND ts > t - INTERVAL 7 DAY),
+weights AS (SELECT user_id, item_id, sum(CASE WHEN action = 'purchase' THEN 5 ELSE 1 END) AS weight FROM ev, top WHERE action IN ('click', 'purchase') AND ts > t - INTERVAL 90 DAY GROUP BY ALL),
+dims AS (SELECT user_id, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM weights JOIN items USING (item_id)),
+means AS (SELECT user_id, i, avg(x) AS x FROM dims GROUP BY ALL), users AS (SELECT user_id, list(x ORDER BY i) AS e FROM means GROUP BY user_id)
+"""
+LIKE = "round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)), 6)"
+
+
+def _functions(spark: SparkSession, d: str) -> None:
+    ev = behaviours(spark, d)
+    counted = ev.groupBy("item_id").agg(F.count(F.lit(1)).cast("double").alias("popularity"), F.avg("value").alias("rating"))
+    parts = table(spark, d, "part").select(
+        F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.col("p_type").alias("type"), F.col("p_brand").alias("category"), (F.col("p_size") != 13).alias("active"),
+        F.array((F.col("p_partkey") % 3).cast("int"), (F.col("p_partkey") % 5).cast("int"), F.col("p_size").cast("int")).alias("semantic_id"),
+    )
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    table_functions.views(ev, parts.join(counted, "item_id", "left").join(vectors, "item_id", "left"))
+    table_functions.register(spark)
+    ev.select("user_id").distinct().createOrReplaceTempView("tf_asked_users")
+
+
+@query(ITEMS_SQL + """, asked AS (SELECT DISTINCT user_id FROM ev), r AS (SELECT user_id, item_id, title, popularity, CAST(row_number() OVER (PARTITION BY user_id ORDER BY popularity DESC NULLS LAST, rating DESC NULLS LAST, item_id) AS INTEGER) AS rank
+FROM asked, items WHERE active AND NOT EXISTS (SELECT 1 FROM month m WHERE m.user_id = asked.user_id AND m.item_id = items.item_id)) SELECT * FROM r WHERE rank <= 5""")
+def ud06_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Called laterally for all users."""
+    _functions(spark, d)
+    return spark.sql("SELECT u.user_id, c.* FROM tf_asked_users u, LATERAL candidates(u.user_id, NULL, NULL, 5) c")
+
+
+@query(ITEMS_SQL + """, p AS (SELECT a.item_id AS item, b.item_id, count(*) AS users, sum(b.weight) AS weighted FROM weights a JOIN weights b ON a.user_id = b.user_id AND a.item_id <> b.item_id WHERE a.item_id % 4 = 0 GROUP BY ALL HAVING count(*) >= 3),
+r AS (SELECT CAST(item AS BIGINT) AS item, CAST(item_id AS BIGINT) AS similar_item_id, users, CAST(weighted AS DOUBLE) / max(weighted) OVER (PARTITION BY item) AS score, CAST(row_number() OVER (PARTITION BY item ORDER BY weighted DESC, item_id) AS INTEGER) AS rank FROM p) SELECT * FROM r WHERE rank <= 10""")
+def ud06_similar_by_behaviour(spark: SparkSession, d: str) -> DataFrame:
+    _functions(spark, d)
+    return spark.sql("SELECT i.item_id AS item, s.* FROM (SELECT DISTINCT item_id FROM tf_weights WHERE item_id % 4 = 0) i, LATERAL similar_by_behaviour(i.item_id, 10) s")
+
+
+@query(ITEMS_SQL + f""", p AS (SELECT a.user_id, b.item_id, {LIKE} AS similarity FROM users a, items b WHERE b.active AND b.e IS NOT NULL AND b.type LIKE '%' AND NOT EXISTS (SELECT 1 FROM week w WHERE w.user_id = a.user_id AND w.item_id = b.item_id)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, item_id) AS INTEGER) AS rank FROM p WHERE similarity >= 0.1) SELECT * FROM r WHERE rank <= 10""")
+def ud06_items_for_user(spark: SparkSession, d: str) -> DataFrame:
+    _functions(spark, d)
+    return spark.sql("SELECT u.user_id, s.* FROM tf_asked_users u, LATERAL items_for_user(u.user_id, NULL, 10, 0.1D) s")
+
+
+@query(ITEMS_SQL + f""", r AS (SELECT a.item_id AS item, b.item_id AS similar_item_id, {LIKE} AS similarity, CAST(row_number() OVER (PARTITION BY a.item_id ORDER BY {LIKE} DESC, b.item_id) AS INTEGER) AS rank
+FROM items a, items b WHERE a.item_id % 20 = 0 AND a.item_id <> b.item_id AND b.active AND a.e IS NOT NULL AND b.e IS NOT NULL AND a.type = b.type) SELECT * FROM r WHERE rank <= 10""")
+def ud06_similar_items(spark: SparkSession, d: str) -> DataFrame:
+    _functions(spark, d)
+    return spark.sql("SELECT i.item_id AS item, s.* FROM tf_items i, LATERAL similar_items(i.item_id, 10, true) s WHERE i.item_id % 20 = 0")
+
+
+@query(ITEMS_SQL + f""", r AS (SELECT a.user_id, b.user_id AS similar_user_id, {LIKE} AS similarity, CAST(row_number() OVER (PARTITION BY a.user_id ORDER BY {LIKE} DESC, b.user_id) AS INTEGER) AS rank
+FROM users a, users b WHERE a.user_id <> b.user_id) SELECT * FROM r WHERE rank <= 5""")
+def ud06_similar_users(spark: SparkSession, d: str) -> DataFrame:
+    _functions(spark, d)
+    return spark.sql("SELECT u.user_id, s.* FROM tf_asked_users u, LATERAL similar_users(u.user_id, 5) s")
+
+
+@query(ITEMS_SQL + """, r AS (SELECT a.item_id AS item, b.item_id, CASE WHEN a.sid = b.sid THEN 3 WHEN a.sid[1:2] = b.sid[1:2] THEN 2 ELSE 1 END AS level FROM items a, items b WHERE a.item_id % 20 = 0 AND b.active AND a.sid[1] = b.sid[1]),
+n AS (SELECT item, item_id, CAST(level AS INTEGER) AS level, CAST(row_number() OVER (PARTITION BY item ORDER BY level DESC, item_id DESC) AS INTEGER) AS rank FROM r) SELECT * FROM n WHERE rank <= 10""")
+def ud06_items_by_semantic_id(spark: SparkSession, d: str) -> DataFrame:
+    _functions(spark, d)
+    return spark.sql("SELECT i.item_id AS item, s.* FROM tf_items i, LATERAL items_by_semantic_id(i.semantic_id, 10) s WHERE i.item_id % 20 = 0")

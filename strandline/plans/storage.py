@@ -11,7 +11,7 @@ from strandline.functions import times
 from strandline.operators import validate
 from strandline.plans.behaviour import TYPES, event_tokens
 from strandline.plans.registry import query
-from strandline.sources import features, files, kafka, views
+from strandline.sources import features, files, kafka, ranges, views
 from strandline.sources.tables import BEHAVIOURS_SQL as EV
 from strandline.sources.tables import behaviours, table
 from strandline.streaming import ingest, sketches, stateful, windows
@@ -168,6 +168,14 @@ def sc22_materialised_view(spark: SparkSession, d: str) -> DataFrame:
     return files.stage(spark, files.scratch(spark), lambda: behaviours(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("n")))
 
 
+@query(EV + "SELECT event_id, user_id, item_id, action, seconds, value FROM ev WHERE seconds >= 1704600000 AND seconds < 1705000000")
+def sc16_data_source(spark: SparkSession, d: str) -> DataFrame:
+    """A time range through the data source, which opens the days that overlap it and no others."""
+    path = files.scratch(spark)
+    ranges.land(_events(spark, d), path)
+    return ranges.read(spark, path, start=1704600000).filter("seconds < 1705000000")
+
+
 @query(EV + """SELECT CAST(seconds // 86400 AS INTEGER) AS day, action, count(*) AS n, round(sum(value), 6) AS value FROM ev
 WHERE NOT (event_id % 5 < 4 AND event_id % 3 = 0) GROUP BY ALL""")
 def sc22_incremental_view(spark: SparkSession, d: str) -> DataFrame:
