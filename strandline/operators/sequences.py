@@ -93,7 +93,17 @@ def draw(*keys: Column | str, seed: int = 42) -> Column:
 
 def draw_sql(*keys: str, seed: int = 42) -> str:
     """The same number in SQL; `keys` are expressions."""
-    return f"((CAST('0x' || left(md5(concat_ws('|', {seed}, {', '.join(keys)})), 7) AS BIGINT) + CAST(0.5 AS DOUBLE)) / 268435456)"
+    return f"(({digits_sql(str(seed), *keys)} + CAST(0.5 AS DOUBLE)) / 268435456)"
+
+
+def digits_sql(*keys: str) -> str:
+    """What `draw` and `picked` are made of, in SQL."""
+    return f"CAST('0x' || left(md5(concat_ws('|', {', '.join(keys)})), 7) AS BIGINT)"
+
+
+def picked_sql(*keys: str, seed: int = 42) -> str:
+    """The place from 0 to 1 at which `picked` draws."""
+    return f"(({digits_sql(str(seed), *keys)} + {digits_sql(repr('fine'), str(seed), *keys)} % 16777216 / CAST(16777216 AS DOUBLE)) / 268435456)"
 
 
 def with_shares(pool: DataFrame, key: str, weight: str) -> DataFrame:
@@ -101,12 +111,12 @@ def with_shares(pool: DataFrame, key: str, weight: str) -> DataFrame:
 
     Sums are taken in 64 blocks by hash of the key, whose own sums follow one another, so no window holds all rows.
     """
-    cut = pool.filter(F.col(weight) > 0).withColumns({"_block": F.pmod(F.xxhash64(key), F.lit(64)).cast("int"), "_w": F.col(weight).cast("double")})
+    cut = pool.filter(F.col(weight) > 0).withColumns({"_block": (_digits(key) % 64).cast("int"), "_w": F.col(weight).cast("double")})
     sums = cut.groupBy("_block").agg(F.sum("_w").alias("_sum")).withColumn("_total", F.sum("_sum").over(Window.partitionBy()))  # 64 rows
     before = F.sum("_sum").over(Window.orderBy("_block"))
     stretches = sums.select("_block", "_total", (before / F.col("_total")).alias("_end"))
     stretches = stretches.withColumn("_start", F.lag("_end", 1, 0.0).over(Window.orderBy("_block")))
-    own = Window.partitionBy("_block").orderBy(F.xxhash64(key), key)
+    own = Window.partitionBy("_block").orderBy(_digits(key), key)
     inner = cut.join(F.broadcast(stretches), "_block").withColumn("_to", F.col("_start") + F.sum("_w").over(own) / F.col("_total"))
     # each stretch begins where the one before it ends, and the last of a block ends with the block
     last = F.lead("_to").over(own).isNull()
@@ -121,8 +131,7 @@ def picked(draws: DataFrame, shares: DataFrame, *keys: Column | str, seed: int =
     the cells it covers.
     """
     cells = max(1, shares.count())
-    fine = F.pmod(F.xxhash64(F.lit("fine"), F.lit(seed), *keys), F.lit(1 << 22)) / (1 << 22)
-    at = (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30)) + fine) / (1 << 30)
+    at = (_digits(F.lit(seed), *keys) + _digits(F.lit("fine"), F.lit(seed), *keys) % (1 << 24) / (1 << 24)) / (1 << 28)
     spread = F.sequence(F.floor(F.col("_from") * cells), F.floor(F.col("_to") * cells))
     near = shares.withColumn("_cell", F.explode(spread))
     drawn = draws.withColumn("_at", at).withColumn("_cell", F.floor(F.col("_at") * cells))
@@ -158,11 +167,11 @@ def negatives(positives: DataFrame, pool: DataFrame, count: int = 4, weight: str
 
 def ranks(df: DataFrame, key: str, blocks: int = 64) -> DataFrame:
     """Adds `place`, from 0 over all rows: within blocks by a hash of the key, after the rows of earlier blocks."""
-    cut = df.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    cut = df.withColumn("_block", (_digits(key) % blocks).cast("int"))
     sizes = cut.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))  # a row for each block
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_block").orderBy(F.xxhash64(key), key))
+    own = F.row_number().over(Window.partitionBy("_block").orderBy(_digits(key), key))
     return cut.withColumn("_own", own).join(F.broadcast(offsets), "_block").withColumn("place", F.col("_before") + F.col("_own") - 1).drop("_block", "_own", "_before")
 
 

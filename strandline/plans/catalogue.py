@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import arrays, times, tokens
 from strandline.operators import catalogue, statistics
-from strandline.operators.sequences import draw_sql
+from strandline.operators.sequences import digits_sql, draw_sql, picked_sql
 from strandline.plans.registry import query
 from strandline.sources.tables import table
 
@@ -317,7 +317,11 @@ def ar11_skip_grams_dynamic(spark: SparkSession, d: str) -> DataFrame:
     return catalogue.skip_grams(_id_sequences(spark, d), "l_orderkey", "ids", 3)
 
 
-@query()
+@query(f"""WITH s AS (SELECT l_orderkey, l_suppkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS i FROM lineitem WHERE l_suppkey > 1),
+pairs AS (SELECT a.l_orderkey, a.id AS target, b.id AS context FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND abs(a.i - b.i) = 1), c AS (SELECT l_suppkey AS id, pow(count(*), 0.75) AS w FROM lineitem GROUP BY l_suppkey),
+shares AS (SELECT id, sum(w) OVER o / sum(w) OVER () AS hi, (sum(w) OVER o - w) / sum(w) OVER () AS lo FROM c WINDOW o AS (ORDER BY {digits_sql('id')} % 64, {digits_sql('id')}, id)),
+drawn AS (SELECT *, {picked_sql('target', 'context', 'k')} AS spot FROM pairs, (SELECT unnest([1, 2]) AS k))
+SELECT l_orderkey, target, context, context AS candidate, 1 AS label FROM pairs UNION ALL SELECT l_orderkey, target, context, id, 0 FROM drawn JOIN shares ON lo <= spot AND spot < hi""")
 def ar12_negative_samples(spark: SparkSession, d: str) -> DataFrame:
     pairs = catalogue.skip_grams(_id_sequences(spark, d), "l_orderkey", "ids", 1, dynamic=False)
     counts = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))

@@ -40,7 +40,7 @@ def vs02_allpairs_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def vs03_lsh_search(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.lsh_candidates(table(spark, d, "embeddings"), _vector(spark, d, 0), 10)
+    return similarity.lsh_candidates(table(spark, d, "embeddings"), _vector(spark, d, 0), 11).filter("vec_id <> 0").orderBy(F.desc("similarity"), "vec_id").limit(10)
 
 
 @query("""WITH x AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY label, i),
