@@ -233,7 +233,24 @@ def ar05_contrastive(spark: SparkSession, d: str) -> DataFrame:
     return sequences.contrastive(behaviours(spark, d), 10).select("user_id", "event_id", joined("anchor").alias("anchor"), "positive")
 
 
-@query()
+def _negatives_sql(weight: str, positive: str = "action = 'purchase'") -> str:
+    """The twin of `sequences.negatives` with four draws out of all items, as the table `ranked`."""
+    digits = sequences.digits_sql("item_id")
+    return EV + f""", pool AS (SELECT item_id, CAST({weight} AS DOUBLE) AS w FROM ev WHERE item_id IS NOT NULL GROUP BY item_id), wanted AS (SELECT DISTINCT user_id, item_id FROM ev WHERE {positive}),
+shares AS (SELECT item_id AS negative, sum(w) OVER o / sum(w) OVER () AS hi, (sum(w) OVER o - w) / sum(w) OVER () AS lo, row_number() OVER o - 1 AS place FROM pool WINDOW o AS (ORDER BY {digits} % 64, {digits}, item_id)),
+tried AS (SELECT *, {sequences.picked_sql('user_id', 'item_id', 'try')} AS spot FROM wanted, (SELECT unnest(range(0, 16)) AS try)),
+fresh AS (SELECT user_id, item_id, negative, min(try) AS try FROM tried t JOIN shares ON lo <= spot AND spot < hi WHERE NOT EXISTS (SELECT 1 FROM wanted w WHERE w.user_id = t.user_id AND w.item_id = negative) GROUP BY ALL),
+short AS (SELECT w.user_id, w.item_id FROM wanted w LEFT JOIN fresh f USING (user_id, item_id) GROUP BY ALL HAVING count(f.negative) < 4),
+free AS (SELECT user_id, negative, place FROM (SELECT DISTINCT user_id FROM short) s, shares WHERE NOT EXISTS (SELECT 1 FROM wanted w WHERE w.user_id = s.user_id AND w.item_id = negative) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY place) <= 4),
+whole AS (SELECT * FROM fresh UNION ALL SELECT user_id, item_id, negative, place + 16 FROM short JOIN free USING (user_id)), best AS (SELECT user_id, item_id, negative, min(try) AS try FROM whole GROUP BY ALL),
+ranked AS (SELECT user_id, item_id, negative, CAST(row_number() OVER (PARTITION BY user_id, item_id ORDER BY try, negative) AS INTEGER) AS rank FROM best QUALIFY rank <= 4)
+"""
+
+
+@query(_negatives_sql("1", "item_id IS NOT NULL") + """, lists AS (SELECT user_id, item_id, string_agg(CAST(negative AS VARCHAR), ',' ORDER BY rank) AS negatives FROM ranked GROUP BY user_id, item_id),
+anchors AS (SELECT user_id, event_id, string_agg(CAST(item_id AS VARCHAR), ',') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS anchor, item_id AS positive
+FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 1)
+SELECT a.user_id, event_id, anchor, positive, coalesce(negatives, '') AS negatives FROM anchors a LEFT JOIN lists l ON l.user_id = a.user_id AND l.item_id = positive""")
 def ar05_contrastive_triples(spark: SparkSession, d: str) -> DataFrame:
     """Anchors and positives with items that the user never touched."""
     ev = behaviours(spark, d)
@@ -306,26 +323,14 @@ def sl13_hash_split(spark: SparkSession, d: str) -> DataFrame:
     return behaviours(spark, d).select("event_id", "user_id", split.alias("split"))
 
 
-def _negatives_sql(weight: str) -> str:
-    digits = sequences.digits_sql("item_id")
-    return EV + f""", pool AS (SELECT item_id, CAST({weight} AS DOUBLE) AS w FROM ev GROUP BY item_id), wanted AS (SELECT DISTINCT user_id, item_id FROM ev WHERE action = 'purchase'),
-shares AS (SELECT item_id AS negative, sum(w) OVER o / sum(w) OVER () AS hi, (sum(w) OVER o - w) / sum(w) OVER () AS lo, row_number() OVER o - 1 AS place FROM pool WINDOW o AS (ORDER BY {digits} % 64, {digits}, item_id)),
-tried AS (SELECT *, {sequences.picked_sql('user_id', 'item_id', 'try')} AS spot FROM wanted, (SELECT unnest(range(0, 16)) AS try)),
-fresh AS (SELECT user_id, item_id, negative, min(try) AS try FROM tried t JOIN shares ON lo <= spot AND spot < hi WHERE NOT EXISTS (SELECT 1 FROM wanted w WHERE w.user_id = t.user_id AND w.item_id = negative) GROUP BY ALL),
-short AS (SELECT w.user_id, w.item_id FROM wanted w LEFT JOIN fresh f USING (user_id, item_id) GROUP BY ALL HAVING count(f.negative) < 4),
-free AS (SELECT user_id, negative, place FROM (SELECT DISTINCT user_id FROM short) s, shares WHERE NOT EXISTS (SELECT 1 FROM wanted w WHERE w.user_id = s.user_id AND w.item_id = negative) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY place) <= 4),
-whole AS (SELECT * FROM fresh UNION ALL SELECT user_id, item_id, negative, place + 16 FROM short JOIN free USING (user_id)), best AS (SELECT user_id, item_id, negative, min(try) AS try FROM whole GROUP BY ALL)
-SELECT user_id, item_id, negative, CAST(row_number() OVER (PARTITION BY user_id, item_id ORDER BY try, negative) AS INTEGER) AS rank FROM best QUALIFY rank <= 4"""
-
-
-@query(_negatives_sql("1"))
+@query(_negatives_sql("1") + "SELECT * FROM ranked")
 def sl15_negatives_uniform(spark: SparkSession, d: str) -> DataFrame:
     ev = behaviours(spark, d).filter("action = 'purchase'")
     pool = behaviours(spark, d).select("item_id").distinct()
     return sequences.negatives(ev, pool, 4)
 
 
-@query(_negatives_sql("count(*)"))
+@query(_negatives_sql("count(*)") + "SELECT * FROM ranked")
 def sl15_negatives_popularity(spark: SparkSession, d: str) -> DataFrame:
     ev = behaviours(spark, d)
     pool = ev.groupBy("item_id").agg(F.count(F.lit(1)).alias("popularity"))
