@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import vectors
+from strandline.operators.codebooks import matrix
 from strandline.operators.statistics import top_per
 
-#: Vectors of a block, two of which meet in one task, and rows of one product there.
-BLOCK, SLICE = 4096, 512
+#: Vectors of a block, two of which meet in one task, and rows of one product there. Every vector is copied once for each block of
+#: the other side, so blocks are as large as a task's memory allows (with 64 dimensions 16 MB each, and 32 MB for a product).
+BLOCK, SLICE = 32_768, 128
 
 
 def top_k(df: DataFrame, query: list[float], k: int, id_: str = "vec_id", vector: str = "embedding", exclude: list | None = None, digits: int = 6) -> DataFrame:
@@ -32,30 +34,33 @@ def all_pairs_top_k(queries: DataFrame, base: DataFrame, k: int, id_: str = "vec
 
     Queries and base are cut into blocks of about BLOCK rows by hash of the id; each pair of blocks is multiplied,
     SLICE queries at once, keeping k rows a query, and the blocks' winners are ranked once more. A task holds two
-    blocks, never a whole side.
+    blocks, never a whole side; few queries make few blocks, and so few copies of the base. What needn't be exact is cheaper by
+    `vector_index`.
     """
-    blocks = blocks or max(1, -(-max(queries.count(), base.count()) // BLOCK))
-    q = _block_rows(queries, id_, vector, []).withColumn("bq", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    b = _block_rows(base, id_, vector, []).withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = q.withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = b.withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    turns, parts = (blocks or max(1, -(-df.count() // BLOCK)) for df in (queries, base))
+    q = _block_rows(queries, id_, vector, []).withColumn("bq", F.pmod(F.xxhash64("id"), F.lit(turns)).cast("int"))
+    b = _block_rows(base, id_, vector, []).withColumn("bb", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    left = q.withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = b.withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
     kind = queries.schema[id_].dataType.simpleString()
 
     def product(_, a: pa.Table, c: pa.Table) -> pa.Table:
         if not a.num_rows or not c.num_rows:
             return pa.table({"query": a["id"].slice(0, 0), id_: a["id"].slice(0, 0), "similarity": pa.array([], pa.float64())})
-        x, y = (np.array(t["v"].to_pylist(), dtype=np.float64) for t in (a, c))
+        x, y = (matrix(t["v"].combine_chunks()) for t in (a, c))
         ids_a, ids_c = (np.array(t["id"].to_pylist()) for t in (a, c))
         out_q, out_b, out_s = [], [], []
-        for i in range(len(ids_a)):
-            if i % SLICE == 0:
-                s = np.round(x[i : i + SLICE] @ y.T, digits)
-            own = s[i % SLICE]
-            order = np.lexsort((ids_c, -own))
-            order = order[ids_c[order] != ids_a[i]][:k]
-            out_q.append(np.repeat(ids_a[i], len(order)))
-            out_b.append(ids_c[order])
-            out_s.append(own[order])
+        for at in range(0, len(ids_a), SLICE):
+            s = np.round(x[at : at + SLICE] @ y.T, digits)
+            s[ids_a[at : at + SLICE, None] == ids_c] = -np.inf
+            # whatever is no less than the k-th greatest, ties of it included
+            least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -2.0)
+            for i, own in enumerate(s):
+                some = np.flatnonzero((own >= least[i]) & (own > -np.inf))
+                best = some[np.lexsort((ids_c[some], -own[some]))][:k]
+                out_q.append(np.repeat(ids_a[at + i], len(best)))
+                out_b.append(ids_c[best])
+                out_s.append(own[best])
         return pa.table({"query": np.concatenate(out_q), id_: np.concatenate(out_b), "similarity": np.concatenate(out_s)})
 
     found = left.groupBy("bq", "bb").cogroup(right.groupBy("bq", "bb")).applyInArrow(product, f"query {kind}, {id_} {kind}, similarity double")

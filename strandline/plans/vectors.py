@@ -46,10 +46,10 @@ def vs03_lsh_search(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH x AS (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM x GROUP BY label, i),
 v AS (SELECT label, list(x ORDER BY i) AS e FROM m GROUP BY label) SELECT a.label AS a, b.label AS b, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)), 6) AS similarity FROM v a, v b""")
 def vs04_similarity_matrix(spark: SparkSession, d: str) -> DataFrame:
-    """The matrix of the clusters' mean vectors, over all rows."""
-    means = similarity.mean_vectors(table(spark, d, "embeddings"), "label", "embedding").withColumn("one", F.lit(1))
-    a, b = means.select(F.col("label").alias("a"), F.col("embedding").alias("x"), "one"), means.select(F.col("label").alias("b"), F.col("embedding").alias("y"), "one")
-    return a.join(b, "one").select("a", "b", F.round(vectors.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
+    """The matrix of the clusters' mean vectors, over all rows: as many vectors as labels."""
+    means = similarity.mean_vectors(table(spark, d, "embeddings"), "label", "embedding")
+    a, b = means.select(F.col("label").alias("a"), F.col("embedding").alias("x")), means.select(F.col("label").alias("b"), F.col("embedding").alias("y"))
+    return a.join(F.broadcast(b)).select("a", "b", F.round(vectors.cosine(F.col("x"), F.col("y")), 6).alias("similarity"))
 
 
 @query(E_SQL + f"""SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS similarity FROM v a, v b WHERE a.vec_id IN (0, 1, 2, 3, 5, 8, 13, 21) AND b.vec_id IN (0, 1, 2, 3, 5, 8, 13, 21)""")
