@@ -11,6 +11,7 @@ PERSONAL = {
     "email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",
     "id_card": r"\d{17}[\dXx]",
 }
+# Words and phrases that mark a text, in the order in which they are looked for.
 TOXIC = ("hate", "kill", "idiot", "violence")
 INJECTION = ("ignore previous instructions", "system prompt", "you are now", "roleplay", "override", "jailbreak")
 

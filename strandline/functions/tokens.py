@@ -44,7 +44,7 @@ def device(name: Column) -> Column:
 
 
 def stable_hash(text: Column) -> Column:
-    """h = 31 h + code point, in 32 bits. Characters outside the basic plane count as their two surrogates."""
+    """h = 31 h + code point, in 32 bits; a character outside the basic plane counts as one code point."""
     codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
     return F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
 

@@ -143,7 +143,8 @@ def _stratum(state: DataFrame, pairs: DataFrame, blocks: int, shift: int, turn:
 def train(pairs: DataFrame, dims: int = 128, rounds: int = 5, negatives: int = 5, rate: float = 0.2, blocks: int | None = None, seed: int = 42) -> tuple[DataFrame, list[float]]:
     """((word, vec), losses): a vector for each center of `counted_pairs`, and the mean loss of a pair in each round.
 
-    Each stratum's state is written to the shared folder before the next begins, so a lost executor costs a stratum at most.
+    Each stratum's state is written to the shared folder before the next begins, so a lost executor costs a stratum at most; the one before is
+    removed then.
     The result is the same for the same pairs and blocks. Without pairs there are no vectors.
     """
     spark = pairs.sparkSession
@@ -154,14 +155,18 @@ def train(pairs: DataFrame, dims: int = 128, rounds: int = 5, negatives: int = 5
     keyed.write.parquet(f"{folder}/pairs")
     keyed = spark.read.parquet(f"{folder}/pairs")
     _start(keyed, blocks, dims, seed).write.parquet(f"{folder}/start")
-    state, losses = spark.read.parquet(f"{folder}/start"), []
+    before, losses = f"{folder}/start", []
+    state = spark.read.parquet(before)
     for r in range(rounds):
         loss = weight = 0.0
         for shift in range(blocks):
             path = f"{folder}/{r}-{shift}"
             _stratum(state, keyed, blocks, shift, r * blocks + shift, negatives, rate, seed).write.parquet(path)
             state = spark.read.schema(_ROW).parquet(path)
+            files.remove(spark, before)
+            before = path
             one = state.filter("side = 2").agg(F.sum("loss"), F.sum("n")).first()
             loss, weight = loss + (one[0] or 0.0), weight + (one[1] or 0)
         losses.append(loss / weight if weight else 0.0)
+    files.remove(spark, f"{folder}/pairs")
     return state.filter("side = 0").select("word", "vec"), losses

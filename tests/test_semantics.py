@@ -59,7 +59,7 @@ def test_stable_hash(spark):
             h = (h * 31 + ord(c)) & 0xFFFFFFFF
         return h
 
-    for s in ("", "movie_001", "é中"):
+    for s in ("", "movie_001", "é中", "a😀b"):
         assert one(spark, tokens.stable_hash(F.lit(s))) == plain(s)
 
 
