@@ -200,7 +200,7 @@ def scores(
     document's own n-grams and words are left out of both. `n_backoffs` are the words that took a step down,
     `n_unseen` those that don't occur (elsewhere). Words are cut at blanks, A-Z in lower case.
 
-    Documents without words (null and empty texts too) score 0. Repeated rows are documents of their own: they
+    Documents without words (null and empty texts too) score 0. A text of any length is one block and is counted whole. Repeated rows are documents of their own: they
     count, and come out, as often as they are there. Other columns don't matter. `df` is read three times (once for
     its size) and must come in the same order each time, as files do; if it doesn't, the job stops.
     """

@@ -69,7 +69,7 @@ def train(examples: DataFrame, params: Ftrl = Ftrl(), text: str = "text", label:
     """One pass of FTRL updates over `examples` in the order of a hash of `order`.
 
     Updates follow one another, so one task takes them; callers bound the sample (see `sample_labelled`).
-    Rows with a null label are passed over. Without rows every score is 0.5.
+    Rows with a null label are passed over; repeated rows are learnt as often as they are there. Without rows every score is 0.5.
     """
 
     def fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,7 +51,10 @@ LEAST_COUNT, LEAST_LETTERS = 5, 3
 #: Dictionary words, the most frequent, that made-up findings are put together from.
 SAMPLE_WORDS = 400
 # Words to make findings from where a corpus has no dictionary.
-PLAIN_WORDS = "the,and,with,from,this,that,which,other,about,there,their,first,house,water,people,under,world,after,where,thing"
+PLAIN_WORDS = (
+    "the", "and", "with", "from", "this", "that", "which", "other", "about", "there",
+    "their", "first", "house", "water", "people", "under", "world", "after", "where", "thing",
+)
 
 
 @dataclass(frozen=True)
@@ -77,7 +80,7 @@ def learn_language(df: DataFrame, text: str = "text") -> Language:
         times[ALPHABET.find(r["pair"][0]) + 1][ALPHABET.find(r["pair"][1]) + 1] += r["n"]
     logs = [math.log((n + 1) / (sum(row) + width)) for row in times for n in row]
     common = [r["word"] for r in letters.orderBy(F.desc("n"), "word").limit(SAMPLE_WORDS).collect()]
-    return Language(letters.select("word"), logs, common or PLAIN_WORDS.split(","))
+    return Language(letters.select("word"), logs, common or list(PLAIN_WORDS))
 
 
 def _share(text: Column, kept: str) -> Column:
@@ -275,7 +278,11 @@ def scan(df: DataFrame, model: PipelineModel, language: Language, doc_id: str =
 
 
 def redacted(df: DataFrame, model: PipelineModel, language: Language, doc_id: str = "doc_id", text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """All rows and columns of `df`, with every secret of `text` replaced by `mask`. Rows are matched by doc_id and text; null texts stay."""
+    """All rows and columns of `df`, with every secret of `text` replaced by `mask`. Rows are matched by doc_id and text; null texts stay.
+
+    Empty texts stay empty, repeated rows are changed alike and come out as often as they went in. Secrets of one text
+    never overlap, being matches of one pattern. A text of any length is changed in one piece.
+    """
     key = F.struct(F.col(doc_id).alias("i"), F.xxhash64(text).alias("h"))
     found = scan(df.select(key.alias("key"), F.col(text).alias("text")), model, language, "key", "text")
     id_, mark, spans_ = own_names(df, "id", "mark", "spans")
