@@ -32,8 +32,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalised(a: Column) -> Column:
     """Unit length; a zero vector stays."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(as_doubles(a), lambda x: x / length)).otherwise(as_doubles(a))
+    # the length in an array of one, so that it is worked out once a vector and not once an element
+    scaled = F.transform(F.array(norm(a)), lambda n: F.when(n > 0, F.transform(as_doubles(a), lambda x: x / n)).otherwise(as_doubles(a)))
+    return F.when(a.isNotNull(), F.get(scaled, F.lit(0)))
 
 
 def plus(a: Column, b: Column) -> Column:
@@ -49,5 +50,7 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    shifted = F.transform(as_doubles(a), lambda x: F.exp(x - F.array_max(as_doubles(a))))
-    return F.transform(shifted, lambda x: x / total(shifted))
+    # each step in an array of one, worked out once a vector
+    shifted = F.transform(F.array(F.array_max(as_doubles(a))), lambda m: F.transform(as_doubles(a), lambda x: F.exp(x - m)))
+    shares = F.transform(shifted, lambda e: F.transform(F.array(total(e)), lambda t: F.transform(e, lambda x: x / t)))
+    return F.when(a.isNotNull(), F.get(F.get(shares, F.lit(0)), F.lit(0)))

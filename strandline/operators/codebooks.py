@@ -56,7 +56,7 @@ def _sums(df: DataFrame, vector: str, codes: np.ndarray, prepare: Prepare | None
                 at, far = nearest(own, codes[p])
                 n[p] += np.bincount(at, minlength=k)
                 error[p] += np.bincount(at, far, minlength=k)
-                np.add.at(total[p], at, own)
+                total[p] += np.stack([np.bincount(at, column, minlength=k) for column in own.T], axis=1)
                 # equal vectors are equally far, so the farthest different ones are among the first of each distance
                 both, vectors = np.concatenate([worst[p][0], far]), np.concatenate([worst[p][1], own])
                 _, first = np.unique(-both, return_index=True)
