@@ -194,7 +194,8 @@ def families(language: Language, id_: Column) -> list[tuple[str, Column, Column,
     both = F.regexp_replace(F.concat(F.base64(F.unhex(digest)), F.base64(F.unhex(again))), "=", "")
     alnum = F.regexp_replace(both, "[^A-Za-z0-9]", "")
     digits = F.translate(digest, "abcdef", "123456")
-    words = F.array(*(F.lit(w) for w in language.common))
+    # one literal: as an array of literals it would be copied into each family that draws a word
+    words = F.from_json(F.lit(json.dumps(language.common)), "array<string>")
 
     def word(k: int) -> Column:
         return F.get(words, F.pmod(F.xxhash64(id_, F.lit(k)), F.size(words)).cast("int"))

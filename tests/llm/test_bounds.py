@@ -91,3 +91,15 @@ def test_words_of_a_block_keep_their_case():
     block = textblocks.block_of(pa.array(["A bé\tC", None, "x"]), lower=False)
     assert block.words().to_pylist() == [b"A ", "bé ".encode(), b"C ", b"x "]
     assert textblocks.block_of(pa.array([None, " "])).words().to_pylist() == []
+
+
+def test_made_up_findings_have_a_small_plan(spark, monkeypatch):
+    """The dictionary's words are one literal, not one each in every family that draws a word."""
+    from strandline.llm import secrets
+
+    literals = []
+    lit = F.lit
+    monkeypatch.setattr(F, "lit", lambda value: literals.append(value) or lit(value))
+    words = [f"word{i:04d}" for i in range(secrets.SAMPLE_WORDS)]
+    secrets.families(secrets.Language(None, [0.0], words), F.col("id"))
+    assert not set(words) & {x for x in literals if isinstance(x, str)}
