@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,14 +13,19 @@ def unique(a: Column) -> Column:
     return F.array_distinct(a)
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    # the value in an array of one, so that it is worked out once a row and not once an element
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def difference(a: Column, b: Column) -> Column:
     """What of `a` isn't in `b`, repeats kept."""
-    return F.filter(a, lambda x: ~F.array_contains(b, x))
+    return _once(b, lambda other: F.filter(a, lambda x: ~F.array_contains(other, x)))
 
 
 def intersection(a: Column, b: Column) -> Column:
     """What of `a` is in `b`, repeats kept."""
-    return F.filter(a, lambda x: F.array_contains(b, x))
+    return _once(b, lambda other: F.filter(a, lambda x: F.array_contains(other, x)))
 
 
 def chunks(a: Column, size: int) -> Column:

@@ -338,3 +338,19 @@ def test_negative_lists_are_full_where_the_pool_has_items(spark):
         assert weight is None or not any(39 in v for v in lists.values())
     few = sequences.negatives(touched, pool.filter("item_id < 32"), 8).filter("user_id = 1").collect()
     assert {r.negative for r in few} == {30, 31}
+
+
+def test_array_sets_in_linear_time(spark):
+    """The other array is worked out once a row; nulls as before."""
+    import time
+
+    from strandline.functions import arrays
+
+    df = spark.range(1).select(F.sequence(F.lit(1), F.lit(60_000)).alias("l")).localCheckpoint()
+    other = F.transform(F.slice(F.transform("l", lambda x: x + 1), 1, 3), lambda x: x * 2)  # 4, 6, 8
+    began = time.time()
+    assert df.select(F.size(arrays.difference(F.col("l"), other)), arrays.intersection(F.col("l"), other)).first()[:] == (59_997, [4, 6, 8])
+    assert time.time() - began < 20
+    nulls = spark.createDataFrame([(None, [1]), ([1, None], [1]), ([1], None)], "a array<int>, b array<int>")
+    got = nulls.select(arrays.difference(F.col("a"), F.col("b")).alias("d"), arrays.intersection(F.col("a"), F.col("b")).alias("i")).collect()
+    assert [tuple(r) for r in got] == [(None, None), ([], [1]), ([], [])]
