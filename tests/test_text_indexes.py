@@ -194,3 +194,24 @@ def test_fuzzy_search_equals_scoring_every_part(spark, sf):
             scores = sorted((-round(plain_weighted(q, n.lower()), 6), i) for i, n in part)
             expected |= {(key, i, -s, n + 1) for n, (s, i) in enumerate([x for x in scores if -x[0] >= 60][:10])}
     assert {tuple(r) for r in registry.queries()["fn40_weighted_ratio"](spark, sf).select("query", "id", "score", "rank").collect()} == expected
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.8])
+def test_pairs_of_trigrams_lose_nothing(spark, monkeypatch, least):
+    """Short, long and one-trigram texts against all pairs; names that share single trigrams only are no candidates."""
+    monkeypatch.setattr(gram_index, "LONG", 12)
+    texts = ["", "a", "ab", "aa", "aaaaaaaa", "abc", "abcd", "abcabc"] + [f"customer#{i * 7919 % 1000:06d}" for i in range(40)] + ["abcd" * n + "xyz" * (n % 3) for n in range(1, 8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    path = files.scratch(spark)
+    gram_index.build(df, path, "id", "text", buckets=3)
+    sets = [{f"  {t} "[i : i + 3] for i in range(len(t) + 1)} for t in texts]
+    expected = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if len(x & y) / len(x | y) >= least - 1e-9}
+    got = gram_index.similar(spark, path, df.withColumnRenamed("id", "query"), least).select("query", "id").collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_few_candidates_share_one_trigram(spark):
+    df = spark.range(2000).select("id", F.format_string("customer#%09d", F.col("id") * 7919).alias("text"))
+    path = files.scratch(spark)
+    gram_index.build(df, path, "id", "text", buckets=2)
+    assert gram_index.candidates(spark, path, df.filter("id % 20 = 0").withColumnRenamed("id", "query"), 0.8).count() < 1_000
