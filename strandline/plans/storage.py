@@ -322,7 +322,7 @@ def st12_stream_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Every event lands twice and comes out once."""
     path, landed = files.scratch(spark), files.scratch(spark)
     ev = behaviours(spark, d).withColumn("ts", F.expr(f"timestampadd(SECOND, seconds, {times.EPOCH})").cast("timestamp"))
-    ev.unionByName(ev).repartition(2).write.parquet(landed)
+    ev.unionByName(ev).write.parquet(landed)
     stream = spark.readStream.schema(STREAM.replace("timestamp_ntz", "timestamp")).parquet(landed)
     once = ingest.once_each(stream, late="60 days").select("event_id")
     once.writeStream.format("parquet").option("path", f"{path}/once").option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start().awaitTermination()
