@@ -12,6 +12,10 @@ from strandline.plans.registry import query
 from strandline.sources.tables import table
 
 
+#: Order lines that meet in one task.
+TASK_LINES = 1 << 20
+
+
 def shown(array: str, sep: str = ",") -> F.Column:
     return F.array_join(F.transform(array, lambda x: x.cast("string")), sep)
 
@@ -99,9 +103,12 @@ def sq09_actor_genres(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT p_brand AS director, o_orderpriority AS genre, count(DISTINCT o_orderkey) AS n FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL")
 def jo12_explode_join(spark: SparkSession, d: str) -> DataFrame:
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("genre"))
-    joined = _branded(spark, d).join(orders, "l_orderkey")
-    return joined.groupBy(F.col("p_brand").alias("director"), "genre").agg(F.count_distinct("l_orderkey").alias("n"))
+    # tasks by rows: shuffled pairs are so few bytes that as many as fill a partition would need gigabytes when they are told apart
+    tasks = max(1, -(-table(spark, d, "lineitem").count() // TASK_LINES))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("genre")).repartition(tasks, "l_orderkey")
+    brands = _branded(spark, d).select("l_orderkey", F.col("p_brand").alias("director")).repartition(tasks, "l_orderkey").distinct()
+    # an order counts once for each brand and priority
+    return brands.join(orders.distinct(), "l_orderkey").groupBy("director", "genre").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _walks(spark: SparkSession, d: str) -> DataFrame:
