@@ -169,7 +169,8 @@ d AS (SELECT user_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscri
 m AS (SELECT user_id, i, avg(x) AS x FROM d GROUP BY user_id, i) SELECT user_id, round(x / sqrt(sum(x * x) OVER (PARTITION BY user_id)), 9) AS first FROM m QUALIFY i = 1""")
 def vs15_user_vectors(spark: SparkSession, d: str) -> DataFrame:
     newest = statistics.top_per(behaviours(spark, d), "user_id", [F.desc("ts"), F.desc("event_id")], 10).select("user_id", F.col("item_id").alias("vec_id"))
-    means = similarity.mean_vectors(newest.join(table(spark, d, "embeddings"), "vec_id"), "user_id", "embedding")
+    e = table(spark, d, "embeddings")
+    means = similarity.mean_vectors(newest.join(e, "vec_id"), "user_id", "embedding", e.agg(F.max(F.size("embedding"))).first()[0])
     return means.select("user_id", F.round(F.get(vectors.normalised(F.col("embedding")), F.lit(0)), 9).alias("first"))
 
 
@@ -178,7 +179,8 @@ d AS (SELECT user_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscri
 SELECT user_id, round(sum(x) / count(*), 9) AS mean FROM d GROUP BY user_id""")
 def jo16_mean_pool(spark: SparkSession, d: str) -> DataFrame:
     newest = statistics.top_per(behaviours(spark, d), "user_id", [F.desc("ts"), F.desc("event_id")], 10).select("user_id", F.col("item_id").alias("vec_id"))
-    means = similarity.mean_vectors(newest.join(table(spark, d, "embeddings"), "vec_id"), "user_id", "embedding")
+    e = table(spark, d, "embeddings")
+    means = similarity.mean_vectors(newest.join(e, "vec_id"), "user_id", "embedding", e.agg(F.max(F.size("embedding"))).first()[0])
     return means.select("user_id", F.round(vectors.total(F.col("embedding")) / F.size("embedding"), 9).alias("mean"))
 
 
