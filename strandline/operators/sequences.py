@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from strandline.functions import arrays, times
 
 GAP = 1800
+#: Draws of negatives that are looked up in one task, and rows of a table that is sent to every task.
+TASK_DRAWS, SENT_ROWS = 1 << 20, 1 << 18
 
 
 def in_order(user: str = "user_id", *more: str):
@@ -135,7 +137,7 @@ def picked(draws: DataFrame, shares: DataFrame, *keys: Column | str, seed: int =
     spread = F.sequence(F.floor(F.col("_from") * cells), F.floor(F.col("_to") * cells))
     near = shares.withColumn("_cell", F.explode(spread))
     drawn = draws.withColumn("_at", at).withColumn("_cell", F.floor(F.col("_at") * cells))
-    return drawn.join(near, "_cell").filter((F.col("_from") <= F.col("_at")) & (F.col("_at") < F.col("_to"))).drop("_cell", "_at", "_from", "_to")
+    return drawn.join(sent(near, cells), "_cell").filter((F.col("_from") <= F.col("_at")) & (F.col("_at") < F.col("_to"))).drop("_cell", "_at", "_from", "_to")
 
 
 def negatives(positives: DataFrame, pool: DataFrame, count: int = 4, weight: str | None = None, seed: int = 42, tries: int = 4) -> DataFrame:
@@ -146,23 +148,36 @@ def negatives(positives: DataFrame, pool: DataFrame, count: int = 4, weight: str
     pool's items follow in a fixed order, so that a list is short only if the pool has no more items for the user.
     """
     own = pool.select(F.col("item_id").alias("negative"), (F.col(weight) if weight else F.lit(1)).alias("_weight")).filter("_weight > 0")
-    wanted = positives.select("user_id", "item_id").distinct()
-    touched = positives.select("user_id", F.col("item_id").alias("negative")).distinct()
-    tried = wanted.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(count * tries - 1))))
+    # all of a user is in one partition, where draws are made and looked up; partitions by rows, since draws are many more than positives
+    tasks = max(positives.sparkSession.sparkContext.defaultParallelism, -(-positives.count() * count * tries // TASK_DRAWS))
+    wanted = positives.select("user_id", "item_id").repartition(tasks, "user_id").distinct()
+    touched = wanted.select("user_id", F.col("item_id").alias("negative"))
+    # a draw before the others stands for the positive itself, and tells in its user's partition what the user touched
+    tried = wanted.withColumn("try", F.explode(F.sequence(F.lit(-1), F.lit(count * tries - 1))))
     drawn = picked(tried, with_shares(own, "negative", "_weight"), "user_id", "item_id", "try", seed=seed)
-    fresh = drawn.join(touched, ["user_id", "negative"], "left_anti").groupBy("user_id", "item_id", "negative").agg(F.min("try").alias("try"))
-    # a user can have lost no more places of the fixed order than they touched items
-    found = fresh.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("_n"))
+    drawn = drawn.withColumn("negative", F.when(F.col("try") < 0, F.col("item_id")).otherwise(F.col("negative")))
+    mine = F.max((F.col("try") < 0) & F.col("user_id").isNotNull()).over(Window.partitionBy("user_id", "negative"))
+    known = drawn.withColumn("_own", mine).filter("try >= 0")
+    each = known.groupBy("user_id", "item_id", "negative").agg(F.min("try").alias("try"), F.max("_own").alias("_own"))
+    fresh = F.sort_array(F.collect_list(F.when(~F.col("_own"), F.struct("try", "negative"))))
+    kind = pool.schema["item_id"].dataType
+    lists = each.groupBy("user_id", "item_id").agg(F.transform(F.slice(fresh, 1, count), lambda x: x["negative"].cast(kind)).alias("_fresh"))
+    # the first `count` items of the fixed order that a user hasn't touched fill any of their lists; no more places can be lost than items touched
     lost = touched.groupBy("user_id").agg(F.count(F.lit(1)).alias("_lost"))
-    short = wanted.join(found, ["user_id", "item_id"], "left").filter(F.coalesce("_n", F.lit(0)) < count).join(lost, "user_id")
-    # the first `count` items of the fixed order that a user hasn't touched fill any of their lists
-    places = short.select("user_id", "_lost").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lost") + count)).alias("place"))
-    left = places.join(ranks(own.select("negative"), "negative"), "place").join(touched, ["user_id", "negative"], "left_anti")
-    first = left.withColumn("_nth", F.row_number().over(Window.partitionBy("user_id").orderBy("place"))).filter(F.col("_nth") <= count)
-    rest = short.select("user_id", "item_id").join(first, "user_id").select("user_id", "item_id", "negative", (F.col("place") + count * tries).alias("try"))
-    both = fresh.unionByName(rest).groupBy("user_id", "item_id", "negative").agg(F.min("try").alias("try"))
-    w = Window.partitionBy("user_id", "item_id").orderBy("try", "negative")
-    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= count).select("user_id", "item_id", "negative", "rank")
+    places = lost.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lost") + count)).alias("place"))
+    order = ranks(own.select("negative"), "negative")
+    left = places.join(sent(order, order.count()), "place").join(touched, ["user_id", "negative"], "left_anti")
+    nth = left.withColumn("_nth", F.row_number().over(Window.partitionBy("user_id").orderBy("place"))).filter(F.col("_nth") <= count)
+    first = nth.groupBy("user_id").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("place", "negative"))), lambda x: x["negative"])).alias("_first"))
+    rest = F.filter("_first", lambda x: ~F.exists("_fresh", lambda y: y.eqNullSafe(x)))
+    whole = F.slice(F.concat("_fresh", F.coalesce(rest, F.slice("_fresh", 1, 0))), 1, count)
+    found = lists.join(first, "user_id", "left").select("user_id", "item_id", F.posexplode(whole).alias("rank", "negative"))
+    return found.select("user_id", "item_id", "negative", (F.col("rank") + 1).alias("rank"))
+
+
+def sent(df: DataFrame, rows: int) -> DataFrame:
+    """A table that is joined in every task if it has no more than SENT_ROWS rows, and as Spark sees fit otherwise."""
+    return F.broadcast(df) if rows <= SENT_ROWS else df
 
 
 def ranks(df: DataFrame, key: str, blocks: int = 64) -> DataFrame:
