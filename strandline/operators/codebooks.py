@@ -15,8 +15,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows whose distances to all codes are held at once, and badly fitted vectors that a task names for each codebook.
-_SLICE, _WORST = 4096, 32
+#: Distances of rows to codes that are held at once, and badly fitted vectors that a task names for each codebook.
+_HELD, _WORST = 1 << 20, 32
 
 Prepare = Callable[[np.ndarray], np.ndarray]
 
@@ -34,10 +34,11 @@ def squared_distances(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
 def nearest(x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The nearest code of each row, the first of equals, and its squared distance."""
     at, far = np.zeros(len(x), np.int64), np.zeros(len(x))
-    for i in range(0, len(x), _SLICE):
-        d = squared_distances(x[i : i + _SLICE], codes)
-        at[i : i + _SLICE] = d.argmin(axis=1)
-        far[i : i + _SLICE] = d.min(axis=1)
+    size = max(1, _HELD // len(codes))
+    for i in range(0, len(x), size):
+        d = squared_distances(x[i : i + size], codes)
+        at[i : i + size] = d.argmin(axis=1)
+        far[i : i + size] = d.min(axis=1)
     return at, far
 
 

@@ -97,8 +97,9 @@ def _probes(queries: DataFrame, centres: np.ndarray, nprobe: int) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             x = codebooks.matrix(b.column(1))
-            for i in range(0, len(x), 256):
-                near = np.argsort(codebooks.squared_distances(x[i : i + 256], centres), axis=1, kind="stable")[:, :nprobe]
+            size = max(1, BLOCK // len(centres))  # a batch carries each query's vector once for each of its cells
+            for i in range(0, len(x), size):
+                near = np.argsort(codebooks.squared_distances(x[i : i + size], centres), axis=1, kind="stable")[:, :nprobe]
                 own = pa.array(np.repeat(np.arange(i, i + len(near)), near.shape[1]))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(near.ravel().astype(np.int32)), pa.array(np.tile(np.arange(near.shape[1], dtype=np.int32), len(near)))], names=["query", "unit", "cell", "near"])
 
