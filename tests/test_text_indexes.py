@@ -235,3 +235,15 @@ def test_few_candidates_share_one_trigram(spark):
     path = files.scratch(spark)
     gram_index.build(df, path, "id", "text", buckets=2)
     assert gram_index.candidates(spark, path, df.filter("id % 20 = 0").withColumnRenamed("id", "query"), 0.8).count() < 1_000
+
+
+def test_rows_of_a_frequent_text_are_dealt_to_tasks(spark, monkeypatch):
+    """The product of a text's rows and the queries like it comes from tasks by blocks of rows, not from one."""
+    monkeypatch.setattr(gram_index, "BLOCK", 16, raising=False)
+    df = spark.range(200).select("id", F.when(F.col("id") < 190, "blue plate").otherwise("red gear").alias("text"))
+    path = files.scratch(spark)
+    gram_index.build(df, path, "id", "text", buckets=2)
+    found = gram_index.similar(spark, path, df.filter("id % 20 = 0").withColumnRenamed("id", "query"), 0.5)
+    assert sorted((r["query"], r.id) for r in found.collect()) == [(q, i) for q in range(0, 200, 20) for i in range(190)]
+    shares = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) > 4 and max(shares) < 0.5 * 1900
