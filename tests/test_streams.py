@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from strandline.sources import files
@@ -113,3 +114,48 @@ def test_batch_join_gives_unmatched_at_once(spark):
     found = stateful.attributed(rows.filter("action = 'view'"), rows.filter("action = 'click'"), ["user_id"])
     assert sorted((r.exposure_id, r.click_id or 0) for r in found.collect()) == [(1, 2), (3, 0)]
     assert found.filter(F.col("click_id").isNotNull()).count() == 1
+
+
+def test_sessions_send_few_messages_a_user():
+    """Each look at the state or the timers is a message to the JVM: one read, one write and two for the timer a call, however many sessions are open."""
+    sent, held, timers = [], {}, set()
+
+    class Value:
+        def __init__(self, name):
+            self.name = name
+
+        def get(self):
+            sent.append("get")
+            return held.get(self.name)
+
+        def update(self, value):
+            sent.append("update")
+            held[self.name] = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value(name)
+
+        def registerTimer(self, at):
+            sent.append("register")
+            timers.add(at)
+
+        def deleteTimer(self, at):
+            sent.append("delete")
+            timers.discard(at)
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 100
+
+    one = stateful.OpenSessions(10_500)
+    one.init(Handle())
+    assert list(one.handleInputRows((7,), iter([Row(us=us) for us in (200_000, 0, 9_900, 20_400)]), Now())) == []
+    assert timers == {20_400 // 1000 + 1} and len(sent) == 3  # (9,900 + 10,500) µs
+    sent.clear()
+    assert [tuple(r) for r in one.handleExpiredTimer((7,), Now(), None)] == [(7, 1, 0, 9_900, 2), (7, 2, 20_400, 20_400, 1)]
+    assert timers == {211} and len(sent) == 4
+    sent.clear()
+    list(one.handleInputRows((7,), iter([Row(us=205_000), Row(us=195_000)]), Now()))
+    assert timers == {216} and len(sent) == 4
+    assert list(one.handleInputRows((None,), iter([Row(us=1)]), Now())) == [] and len(sent) == 4
