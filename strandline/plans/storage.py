@@ -333,18 +333,22 @@ ORDERED = "event_id long, user_id long, action string, ts timestamp"
 
 
 def _in_parts(spark: SparkSession, d: str, parts: int = 4) -> Iterator[DataFrame]:
-    """Streams over one folder into which events land in time order, a part before each is asked for; last come rows that only move the watermark on."""
+    """Streams over one folder into which events land in time order, a part before each is asked for; last come rows that only move the watermark on.
+
+    Until the last is done, queries deal their state to partitions by the rows of a part.
+    """
     landed = files.scratch(spark)
     ev = behaviours(spark, d).select("event_id", "user_id", "action", F.col("ts").cast("timestamp").alias("ts"), "seconds")
-    low, high = ev.agg(F.min("seconds"), F.max("seconds")).first()
-    for k in range(parts + 1):
-        if k < parts:
-            part = ev.filter((F.col("seconds") - low) * parts >= k * (high - low + 1)).filter((F.col("seconds") - low) * parts < (k + 1) * (high - low + 1)).drop("seconds")
-        else:  # a user of no events, and the click before the exposure
-            part = spark.createDataFrame([(-1, -1, "click", high + 30 * 86400), (-2, -1, "view", high + 30 * 86400 + 1)], "event_id long, user_id long, action string, s long")
-            part = part.select("event_id", "user_id", "action", F.timestamp_seconds("s").alias("ts"))
-        part.write.mode("append").parquet(landed)
-        yield spark.readStream.schema(ORDERED).parquet(landed)
+    low, high, rows = ev.agg(F.min("seconds"), F.max("seconds"), F.count(F.lit(1))).first()
+    with stateful.with_partitions(spark, rows // parts):
+        for k in range(parts + 1):
+            if k < parts:
+                part = ev.filter((F.col("seconds") - low) * parts >= k * (high - low + 1)).filter((F.col("seconds") - low) * parts < (k + 1) * (high - low + 1)).drop("seconds")
+            else:  # a user of no events, and the click before the exposure
+                part = spark.createDataFrame([(-1, -1, "click", high + 30 * 86400), (-2, -1, "view", high + 30 * 86400 + 1)], "event_id long, user_id long, action string, s long")
+                part = part.select("event_id", "user_id", "action", F.timestamp_seconds("s").alias("ts"))
+            part.write.mode("append").parquet(landed)
+            yield spark.readStream.schema(ORDERED).parquet(landed)
 
 
 @query(EV + """SELECT e.user_id, e.event_id AS exposure_id, c.event_id AS click_id FROM (SELECT * FROM ev WHERE action = 'view') e

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from strandline.plans import storage
 from strandline.sources import files
 from strandline.streaming import stateful
 
@@ -159,3 +160,32 @@ def test_sessions_send_few_messages_a_user():
     list(one.handleInputRows((7,), iter([Row(us=205_000), Row(us=195_000)]), Now()))
     assert timers == {216} and len(sent) == 4
     assert list(one.handleInputRows((None,), iter([Row(us=1)]), Now())) == [] and len(sent) == 4
+
+
+def test_partitions_of_state_follow_the_rows_of_a_batch():
+    assert [stateful.partitions_for(rows, 12, 600) for rows in (0, 1, 3_000_000, 3_000_001, 9_000_000, 10**9)] == [12, 12, 12, 13, 36, 600]
+    assert stateful.partitions_for(9_000_000, 12, 8) == 8  # what the session asks for, even if there are more cores
+
+
+def test_few_rows_are_not_dealt_to_all_partitions_of_the_session(spark, sf, monkeypatch):
+    """Each partition writes its stores in every batch, so a stream of few rows takes long on many partitions."""
+    begun, to_files = [], stateful.to_files
+    monkeypatch.setattr(stateful, "to_files", lambda *a: begun.append(to_files(*a)) or begun[-1])
+    before = spark.conf.get(stateful.PARTITIONS)
+    spark.conf.set(stateful.PARTITIONS, "40")
+    try:
+        for query, found in ((storage.st12_stream_join, 188), (storage.st12_timed_sessions, 946)):
+            begun.clear()
+            assert query(spark, sf).count() == found
+            assert {op.numShufflePartitions for q in begun for p in q.recentProgress for op in p.stateOperators} == {spark.sparkContext.defaultParallelism}
+            assert spark.conf.get(stateful.PARTITIONS) == "40"
+    finally:
+        spark.conf.set(stateful.PARTITIONS, before)
+
+
+def test_partitions_of_state_are_put_back_if_a_stream_fails(spark, sf):
+    before = spark.conf.get(stateful.PARTITIONS)
+    with pytest.raises(ValueError, match="stop"):
+        for _ in storage._in_parts(spark, sf):
+            raise ValueError("stop")
+    assert spark.conf.get(stateful.PARTITIONS) == before
