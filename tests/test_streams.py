@@ -163,7 +163,7 @@ def test_sessions_send_few_messages_a_user():
 
 
 def test_partitions_of_state_follow_the_rows_of_a_batch():
-    assert [stateful.partitions_for(rows, 12, 600) for rows in (0, 1, 3_000_000, 3_000_001, 9_000_000, 10**9)] == [12, 12, 12, 13, 36, 600]
+    assert [stateful.partitions_for(rows, 12, 600) for rows in (0, 1, 3_000_000, 3_000_001, 9_000_000, 10**9)] == [12, 12, 12, 24, 36, 600]
     assert stateful.partitions_for(9_000_000, 12, 8) == 8  # what the session asks for, even if there are more cores
 
 
